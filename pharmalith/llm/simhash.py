@@ -99,16 +99,16 @@ def _segment(k: int):
     return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(k << 40))
 
 
-def _entries() -> "F.Column":
+def _probes(seg, bits: int):
+    """Probes at the values with one of the segment's clear bits set."""
+    clear = F.filter(F.array(*[F.lit(1 << b) for b in range(bits)]), lambda m: seg.bitwiseAND(m) == 0)
+    return F.transform(clear, lambda m: F.struct(seg.bitwiseOR(m).alias("key"), F.lit(1).cast("byte").alias("role")))
+
+
+def _entries():
     """Table entries (role 0) and ball probes (role 1) of a fingerprint."""
     own = [F.struct(_segment(k).alias("key"), F.lit(0).cast("byte").alias("role")) for k in range(len(SEGMENTS))]
-    out = F.array(*own)
-    for k, (_, bits) in enumerate(SEGMENTS):
-        masks = F.array(*[F.lit(1 << b) for b in range(bits)])
-        seg = _segment(k)
-        clear = F.filter(masks, lambda m, seg=seg: seg.bitwiseAND(m) == 0)
-        out = F.concat(out, F.transform(clear, lambda m, seg=seg: F.struct(seg.bitwiseOR(m).alias("key"), F.lit(1).cast("byte").alias("role"))))
-    return out
+    return F.concat(F.array(*own), *[_probes(_segment(k), bits) for k, (_, bits) in enumerate(SEGMENTS)])
 
 
 def _crowded(reps: DataFrame, block: int) -> DataFrame:
