@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, htmltext, licenses, minhash, mixing, secrets, simhash, tokenbin, toxicity, warc
 from .shared import ship_package
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _over(op: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that applies an operator to whole tables."""
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return op(spark, *(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
 
-def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash fingerprint and near-duplicate component of every document."""
-    return simhash.op1(spark, _table(spark, sf_dir, "documents"))
+    query.__doc__ = op.__doc__
+    return query
 
 
-QUERIES = {
-    "op1_simhash": op1_simhash,
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": _over(simhash.op1, "documents"),
+    "op2_token_binary": _over(tokenbin.op2, "documents"),
+    "op3_secrets": _over(secrets.op3, "documents"),
+    "op4_html_text": _over(htmltext.op4, "pages"),
+    "op5_minhash": _over(minhash.op5, "documents"),
+    "op6_decontaminate": _over(decontaminate.op6, "documents", "benchmark"),
+    "op7_toxicity": _over(toxicity.op7, "documents", "labels"),
+    "op8_mixing": _over(mixing.op8, "documents"),
+    "op9_warc": _over(warc.op9, "pages"),
+    "op10_licenses": _over(licenses.op10, "documents"),
 }
 
 #: DuckDB SQL of those that SQL can express fast enough on whole tables.

@@ -270,10 +270,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, F.col("fp") == F.col("of"), "left").select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near duplicates the row with the least id, with all its columns.
+
+    Rows that share that id are one document: one of them stays.  Rows without
+    an id stay, for no link names them.
+    """
+    groups = materialise(near_duplicates(docs, id_col, text_col), "groups")
+    kept = groups.where("id = component").select(F.col("id").alias("_id"))
+    repeated = groups.where("id = component").groupBy("id").count().where("count > 1").limit(1).count() > 0
+    at = F.col(id_col).cast("long")
+    out = docs.where(at.isNotNull()).join(kept, at == F.col("_id"), "left_semi")
+    if repeated:
+        out = out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(at.isNull()))
+
+
 def op1(spark, docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     out = near_duplicates(docs)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-__all__ = ["fingerprints", "links", "near_duplicates", "op1"]
+__all__ = ["fingerprints", "links", "keep_one", "near_duplicates", "op1"]
