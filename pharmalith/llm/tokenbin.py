@@ -18,7 +18,6 @@ shard behind.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -30,6 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bytewords import row_slices, text_buffer
 from .shared import fresh_path, open_fs, write_whole
 
 #: Fixed values of the seekable format.
@@ -39,23 +39,53 @@ INDEX_MAGIC = b"PMTKIDX1"
 
 FRAME_BYTES = 256 << 10
 LEVEL = 1
-#: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers before the older half goes.
+REMEMBERED = 600_000
+#: Longer pieces are not remembered.
+PIECE_CHARS = 64
+#: Text given to the tokenizer at once, in characters.
+TOGETHER = 200_000
 END_ID = 0
 
-#: White space other than the space and the line feed, by Unicode's property.
-_OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_OTHER_LATIN = [c for c in _OTHER_SPACE if ord(c) < 256]
-_OTHER_WIDE = re.compile(f"[{_OTHER_SPACE}]")
+_SPACE, _LINE = 0x20, 0x0A
+_LETTER = np.zeros(256, dtype=bool)  # ASCII letters and digits
+_LETTER[0x30:0x3A] = _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK = np.zeros(256, dtype=bool)  # ASCII punctuation but the apostrophe, which may begin a contraction
+_MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
+_MARK[0x27] = False
+
+
+def _odd_space(data: np.ndarray) -> np.ndarray:
+    """Where white space other than space and line feed is: U+0009, 000B-000D, 0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000."""
+    at = [np.flatnonzero((data == 0x09) | ((data >= 0x0B) & (data <= 0x0D)))]
+    two = np.concatenate([data, np.zeros(2, np.uint8)])
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        k = np.flatnonzero(data == lead)
+        x, y = two[k + 1], two[k + 2]
+        if lead == 0xC2:
+            hit = (x == 0x85) | (x == 0xA0)
+        elif lead == 0xE1:
+            hit = (x == 0x9A) & (y == 0x80)
+        elif lead == 0xE2:
+            hit = (x == 0x80) & ((y <= 0x8A) | (y == 0xA8) | (y == 0xA9) | (y == 0xAF)) | (x == 0x81) & (y == 0x9F)
+        else:
+            hit = (x == 0x80) & (y == 0x80)
+        at.append(k[hit])
+    return np.concatenate(at)
 
 
 class Encoder:
-    """A byte-level BPE tokenizer that remembers the ids of space-separated words.
-
-    Byte-level pre-tokenization begins a token at every single space between
-    two characters that are not white space.  So a text in which every space is
-    of that kind may be cut there, and the tokenizer gives each piece the ids
-    that it has in the whole text.  Any other text goes to it whole.
+    """A byte-level BPE tokenizer that encodes each distinct piece of text once.
+
+    Byte-level pre-tokenization always begins a token at a single space between
+    two characters that are not white space, at the first line feed after such
+    a character, and where a punctuation mark follows a letter or digit.  So a
+    text may be cut there, and each piece has the ids that it has in the whole
+    text.  A text with any other use of spaces, with other white space than
+    line feeds within it, or with the mark of a special token, is one piece.
+    Pieces not met before are given to the tokenizer together, a tab before
+    each: no such piece has a tab, and a tab between them is always a token of
+    its own.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -65,44 +95,93 @@ class Encoder:
         if special_as_text:
             self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.heads: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
-
-    @staticmethod
-    def _regular(text: str) -> bool:
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
-            return False
-        return not any(c in text for c in _OTHER_LATIN) and (text.isascii() or not _OTHER_WIDE.search(text))
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; null and empty texts have none."""
-        out: list[bytes] = [b""] * len(texts)
-        whole, cut = [], []
-        for k, text in enumerate(texts):
-            if text:
-                if self._regular(text):
-                    cut.append((k, text.split(" ")))
-                else:
-                    whole.append(k)
-        for k, ids in zip(whole, self._bytes([texts[k] for k in whole])):
-            out[k] = ids
-        if len(self.words) + len(self.heads) > REMEMBERED:
-            self.words.clear()
-            self.heads.clear()
-        heads = list({p[0] for _, p in cut} - self.heads.keys())
-        self.heads.update(zip(heads, self._bytes(heads)))
-        words = set()
-        for _, p in cut:
-            words.update(p[1:])
-        new = list(words - self.words.keys())
-        self.words.update(zip(new, self._bytes([" " + w for w in new])))
-        get = self.words.__getitem__
-        for k, p in cut:
-            out[k] = self.heads[p[0]] + b"".join(map(get, p[1:]))
-        return out
+        self.tab = self._ids("\t")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    _held: dict[tuple[str, bool], Encoder] = {}
+
+    @classmethod
+    def of_worker(cls, path: str, special_as_text: bool = False) -> Encoder:
+        """The worker process's own encoder, so that tasks share what it remembers."""
+        key = (path, special_as_text)
+        if key not in cls._held:
+            cls._held[key] = cls(path, special_as_text)
+        return cls._held[key]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def _learn(self, pieces: list[str], found: dict[str, bytes]) -> None:
+        """Ids of pieces that may be encoded together."""
+        low = 0
+        while low < len(pieces):
+            high, size = low, 0
+            while high < len(pieces) and size < TOGETHER:
+                size += len(pieces[high]) + 1
+                high += 1
+            some = pieces[low:high]
+            ids = self._ids("\t" + "\t".join(some))
+            at = np.flatnonzero(ids == self.tab[0]) if len(self.tab) == 1 else np.zeros(0, np.int64)
+            if len(at) == len(some):
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                bounds = (np.append(at, len(ids)) * width).tolist()
+                found.update((p, raw[a + width : b]) for p, a, b in zip(some, bounds, bounds[1:]))
+            else:
+                found.update((p, self._ids(p).tobytes()) for p in some)
+            low = high
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some rows one after another, and where each row's begin."""
+        data, rows = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        n = len(rows) - 1
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(n + 1, np.int64)
+        space, line = data == _SPACE, data == _LINE
+        blank = space | line
+        odd = blank[:-1] & blank[1:] & (space[:-1] | space[1:])
+        full = rows[:-1] < rows[1:]
+        firsts, lasts = rows[:-1][full], rows[1:][full] - 1
+        odd[firsts[1:] - 1] = False  # the last byte of a row and the first of the next are no pair
+        whole = np.zeros(n, dtype=bool)
+        special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        whole[np.searchsorted(rows, np.concatenate([np.flatnonzero(odd), _odd_space(data), special]), side="right") - 1] = True
+        whole[full] |= blank[firsts] | blank[lasts]
+        starts = space
+        starts[1:] |= line[1:] & ~blank[:-1]
+        after = _LETTER[data]
+        after[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # letters of Latin-1
+        starts[1:] |= _MARK[data[1:]] & after[:-1]
+        for k in np.flatnonzero(whole):
+            starts[rows[k] : rows[k + 1]] = False
+        starts[firsts] = True
+        bounds = np.flatnonzero(starts)
+        pieces = pa.StringArray.from_buffers(len(bounds), pa.py_buffer(np.append(bounds, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = pieces.dictionary_encode()
+        index, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # a piece that is a whole irregular text is encoded by itself
+        alone = np.zeros(len(names), dtype=bool)
+        alone[index[np.searchsorted(bounds, rows[:-1][whole & full])]] = True
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        get, old, found = self.known.get, self.older.get, {}
+        values = [get(p) for p in names]
+        if self.older:
+            found.update((p, v) for p, v in ((p, old(p)) for p, v in zip(names, values) if v is None) if v is not None)
+            values = [found.get(p) if v is None else v for p, v in zip(names, values)]
+        missing = [k for k, v in enumerate(values) if v is None]
+        self._learn([names[k] for k in missing if not alone[k]], found)
+        for k in missing:
+            p = names[k]
+            values[k] = self._ids(p).tobytes() if alone[k] else found[p]
+        self.known.update((p, v) for p, v in found.items() if len(p) <= PIECE_CHARS)
+        flat = np.frombuffer(b"".join(values), self.dtype)
+        length = np.array([len(v) for v in values], dtype=np.int64) // self.dtype.itemsize
+        begin = np.cumsum(length) - length
+        count = length[index]
+        ends = np.cumsum(count)
+        out = flat[np.repeat(begin[index] - ends + count, count) + np.arange(ends[-1])]
+        return out, np.concatenate([[0], ends])[np.searchsorted(bounds, rows)]
 
 
 class ShardWriter:
@@ -200,17 +279,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, special_as_text)
+        encoder = Encoder.of_worker(tokenizer_path, special_as_text)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         writer = ShardWriter(encoder.dtype, frame_bytes)
         shard = TaskContext.get().partitionId()
 
         def frames() -> Iterator[bytes]:
             for batch in batches:
-                for low in range(0, batch.num_rows, 256):
-                    part = batch.slice(low, 256)
-                    for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                        yield from writer.add(doc_id, ids + end)
+                data, offsets = text_buffer(batch.column(1))
+                for first, last in row_slices(offsets):
+                    ids, at = encoder.encode(data, offsets[first : last + 1])
+                    raw, at = ids.tobytes(), (at * encoder.dtype.itemsize).tolist()
+                    for doc_id, a, b in zip(batch.column(0).slice(first, last - first).to_pylist(), at, at[1:]):
+                        yield from writer.add(doc_id, raw[a:b] + end)
             if writer.ids:
                 yield from writer.finish()
 
