@@ -191,9 +191,10 @@ def assemble(records: DataFrame) -> DataFrame:
         return records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias(f"{kind}_of")).agg(F.min(own).alias(kind))
 
     response = F.struct("record_id", "type", "target_uri", "date", "refers_to", "digest", F.col("block").alias("http_head"), "payload_bytes", "payload")
+    # sizes of rows out of Python are guessed from the list of paths; without the hints a large side would be broadcast
     captures = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), response.alias("response"))
-    with_request = captures.join(part("request", "target_uri", "date", "block"), F.col("capture_id") == F.col("request_of"), "left")
-    return with_request.join(part("metadata", "block"), F.col("capture_id") == F.col("metadata_of"), "left").select("capture_id", "response", "request", "metadata")
+    with_request = captures.join(part("request", "target_uri", "date", "block").hint("merge"), F.col("capture_id") == F.col("request_of"), "left")
+    return with_request.join(part("metadata", "block").hint("merge"), F.col("capture_id") == F.col("metadata_of"), "left").select("capture_id", "response", "request", "metadata")
 
 
 def metadata_field(name: str):
