@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import number_rows
-from ..sources.shared import written
+from ..sources.shared import ship_package, written
 
 Limits = dict[str, tuple[float, float]]
 #: Donors per column that predictive mean matching chooses from, at most; a bounded sample by hash of all observed rows.
@@ -194,6 +194,7 @@ class _Chain:
 
 def _filled(rows: DataFrame, chain: _Chain, schema: T.StructType, iterations: int, cont_method: str) -> DataFrame:
     """``rows`` (``_id`` and the columns) with nulls filled; a narrow map."""
+    ship_package(rows.sparkSession)
     names, cats = chain.names, chain.cats
     whole = {f.name for f in schema if isinstance(f.dataType, T.IntegralType)}
 
