@@ -1,59 +1,15 @@
-"""The folder that driver and executors share, and tables written there.
-
-A written table cuts lineage and survives lost executors.  The folder is the
-one the session names in ``spark.checkpoint.dir``; only a local session without
-that setting gets a temporary folder of its own.
-"""
+"""Files in the shared folder, as Python workers read and write them; the folder itself is the library's."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The URI of the shared folder; raises on a cluster that names none."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="pharmalith-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return f"file://{_local[app]}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
+from ..sources.shared import discard, fresh_path, shared_dir, ship_package
+from ..sources.shared import written as materialise
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._pharmalith_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``materialise`` that no later plan reads."""
-    for df in tables:
-        if path := getattr(df, "_pharmalith_path", None):
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+__all__ = ["discard", "fresh_path", "materialise", "open_fs", "shared_dir", "ship_package", "write_whole"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -80,25 +36,3 @@ def write_whole(uri: str, chunks) -> int:
             n += len(chunk)
     fs.move(own, path)
     return n
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    at = tempfile.mkdtemp(prefix="pharmalith-code-")
-    atexit.register(shutil.rmtree, at, ignore_errors=True)
-    name = os.path.join(at, "pharmalith.zip")
-    with zipfile.ZipFile(name, "w") as out:
-        for d, _, files in os.walk(top):
-            for f in files:
-                if f.endswith(".py"):
-                    path = os.path.join(d, f)
-                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
