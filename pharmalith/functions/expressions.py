@@ -28,7 +28,7 @@ def round_one(column: Column) -> Column:
 
 def number_text(column: Column) -> Column:
     """Text of a number with one decimal at most; whole numbers have none."""
-    return F.regexp_replace(F.format_string("%.1f", column), r"\.0$", "")
+    return F.when(column.isNotNull(), F.regexp_replace(F.format_string("%.1f", column), r"\.0$", ""))
 
 
 def to_datetime(column: Column) -> Column:

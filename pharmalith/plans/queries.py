@@ -99,7 +99,7 @@ def with_steps(sql: str) -> str:
     return f"WITH {ctes},\n{sql[5:]}" if sql.startswith("WITH ") else f"WITH {ctes}\n{sql}"
 
 
-@_register("""SELECT cast(dense_rank() OVER (ORDER BY gid) as int) AS ID, t AS TIME, 1.0 AS CMT, cast(evid as double) AS EVID, cast(evid as double) AS MDV, dv AS DV, amt AS AMT, cast(dense_rank() OVER (ORDER BY gg) as int) AS "GROUP", cast(dense_rank() OVER (ORDER BY go) as int) AS ORIGID
+@_register("""SELECT cast(dense_rank() OVER (ORDER BY gid) as int) AS ID, t AS TIME, 1.0::double AS CMT, cast(evid as double) AS EVID, cast(evid as double) AS MDV, dv AS DV, amt AS AMT, cast(dense_rank() OVER (ORDER BY gg) as int) AS "GROUP", cast(dense_rank() OVER (ORDER BY go) as int) AS ORIGID
     FROM (SELECT *, min(pos) OVER (PARTITION BY sid) AS gid, min(pos) OVER (PARTITION BY g) AS gg, min(pos) OVER (PARTITION BY ORIGID) AS go FROM ncarows) QUALIFY dv <> -99""")
 def nca_to_modeling(spark, sf_dir):
     return nca.nca_to_modeling(view(spark, sf_dir, "nca"), NCA, order_by="ORD")
@@ -176,7 +176,7 @@ def add_nominal_timepoints(spark, sf_dir):
     return out.groupBy("TIME", "l_linenumber", "NOMINAL_TIME").agg(F.count("*").alias("n"))
 
 
-@_register("SELECT AGE, CASE WHEN AGE >= 65 THEN 80.0 WHEN AGE >= 40 THEN 50.0 WHEN AGE >= 25 THEN 30.0 ELSE 20.0 END AS nearest, count(*) AS n FROM adsl GROUP BY ALL")
+@_register("SELECT AGE, cast(CASE WHEN AGE >= 65 THEN 80 WHEN AGE >= 40 THEN 50 WHEN AGE >= 25 THEN 30 ELSE 20 END as double) AS nearest, count(*) AS n FROM adsl GROUP BY ALL")
 def match_closest(spark, sf_dir):
     return nominal.match_closest(view(spark, sf_dir, "adsl"), "AGE", [20, 30, 50, 80], "nearest").groupBy("AGE", "nearest").agg(F.count("*").alias("n"))
 
