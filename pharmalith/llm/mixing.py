@@ -153,10 +153,13 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
-    taken = mix(rows, **options).where("copies > 0").select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (word_count(text_col) == F.col("_n"))
-    joined = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return joined.select(*docs.columns)
+    # positional names, so that no column of the documents can clash with these
+    held = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    of = {name: F.col(f"c{k}") for k, name in enumerate(docs.columns)}
+    taken = mix(rows, **options).where("copies > 0").select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies")
+    same = of[id_col].cast("long").eqNullSafe(F.col("mix_id")) & of[source_col].cast("string").eqNullSafe(F.col("mix_source")) & (word_count(of[text_col]) == F.col("mix_size"))
+    joined = held.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return joined.select(*held.columns).toDF(*docs.columns)
 
 
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -1,15 +1,15 @@
 import pytest
-from pyspark.sql import SparkSession
+
+from pharmalith.llm.shared import ship_package
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    ship_package(spark)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    from pharmalith.llm.shared import ship_package
-
-    ship_package(session)
-    return session
+def table(spark):
+    return lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
