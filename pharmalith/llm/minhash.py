@@ -1,4 +1,4 @@
-"""MinHash fingerprints of word shingles.
+"""MinHash fingerprints of word shingles, and near-duplicate texts by bands of them.
 
 A shingle is ``SHINGLE`` consecutive words, hashed to 64 bits; a text of fewer
 words, but not none, is one shingle.  Each of ``PERMUTATIONS`` universal hash
@@ -7,6 +7,13 @@ value over a text's shingles.  A fingerprint has the low 16 bits of each, so
 two texts' fingerprints agree in about the share of shingles they have in
 common; unlike minima agree by chance once in 65,536.  A text without words
 has the fingerprint of no shingles: all ones.
+
+Near duplicates: texts of equal shingle sets are one class.  Classes whose
+fingerprints agree in a whole band of ``BAND_ROWS`` values meet; meeting gives
+groups, joined through the least member of each band's bucket, so no bucket
+emits pairs.  Within a group, blocks of at most ``CELL`` texts are compared two
+at a time, with exact Jaccard likeness.  With 256 values in bands of 8, two
+texts of likeness 0.8 meet directly with probability 0.997, of 0.9 surely.
 """
 
 from __future__ import annotations
@@ -19,9 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytewords import NOT_SPACE, row_slices, shingle_hashes, text_buffer, words_of
+from .components import connected_components
+from .shared import materialise
 
 SHINGLE = 5
-PERMUTATIONS = 128
+PERMUTATIONS = 256
+BAND_ROWS = 8
+#: Likeness from which two texts are near duplicates.
+LIKE = 0.8
+#: Texts in a block of a group.
+CELL = 256
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -126,6 +140,92 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return in_ring(docs, id_col, text_col, parts).mapInArrow(run, schema)
 
 
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    doc = words_of(data, offsets, NOT_SPACE)
+    shingles, firsts = shingle_hashes(doc.hashes(), doc.rows, size)
+    return [np.unique(shingles[a:b]) for a, b in zip(firsts[:-1], firsts[1:])]
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """``id, class, signature`` of every row; equal shingle sets have equal classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            for first, last in row_slices(offsets):
+                part = offsets[first : last + 1]
+                names = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in shingle_sets(data, part)]
+                sigs = [x.astype(">u2").tobytes() for x in signatures(data, part)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(names), pa.array(sigs, pa.binary())], ["id", "class", "signature"])
+
+    return docs.mapInArrow(run, "id long, class string, signature binary")
+
+
+def _compare(threshold: float):
+    """Counts, in each cell of sorted rows, the texts that each text is like; a pair is counted in one cell only."""
+
+    def counted(rows: list[tuple]) -> list[tuple[int, int]]:
+        data, offsets = text_buffer(pa.array([r[4] for r in rows], pa.large_string()))
+        sets = [x for a, b in row_slices(offsets) for x in shingle_sets(data, offsets[a : b + 1])]
+        links = [0] * len(rows)
+        same = rows[0][1]
+        order = sorted(range(len(rows)), key=lambda k: len(sets[k]))
+        for k, i in enumerate(order):
+            for j in order[k + 1 :]:
+                if len(sets[i]) < threshold * len(sets[j]):
+                    break  # longer ones are less alike still
+                if not same and rows[i][2] == rows[j][2]:
+                    continue  # one block's own pairs are counted in its own cell
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= threshold * (len(sets[i]) + len(sets[j]) - shared):
+                    links[i] += 1
+                    links[j] += 1
+        return [(r[3], n) for r, n in zip(rows, links) if n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            out = []
+            for g, cell, own, block, rep, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, cell) != key:
+                    out += counted(held) if len(held) > 1 else []
+                    held, key = [], (g, cell)
+                held.append((g, own, block, rep, text))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rep", "n"])
+        if len(held) > 1 and (out := counted(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rep", "n"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = LIKE, cell: int = CELL) -> DataFrame:
+    """``id, class_id, n_links`` of every row: the least id with the same shingles, and how many other classes are like it.
+
+    Texts without words are one class, like nothing else.  Rows without an id
+    take the class of their text's other rows, or none.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    prints = materialise(_classes(rows), "classes")
+    reps = materialise(prints.groupBy("class").agg(F.min("id").alias("rep"), F.min("signature").alias("signature")), "reps")
+    width = 2 * BAND_ROWS
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(PERMUTATIONS // BAND_ROWS)])
+    buckets = reps.where("rep is not null").select("rep", F.explode(bands).alias("key"))
+    least = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").bitwiseXOR(F.lit(0)).alias("of"), "least")
+    met = buckets.join(least, F.col("key") == F.col("of")).where("rep <> least").select("rep", "least").distinct()
+    groups = materialise(connected_components(met, "rep", "least").select(F.col("node").alias("rep"), F.col("component").alias("g")), "groups")
+    blocks = groups.groupBy("g").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks")).withColumnRenamed("g", "of")
+    placed = groups.join(blocks, F.col("g") == F.col("of")).select("g", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j)).alias("cell"), (F.col("block") == j).alias("own")))
+    # a repeated id is one text of its class here
+    texts = rows.join(placed.select(F.col("rep").alias("wanted")), F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    dealt = placed.join(texts, F.col("rep") == F.col("id")).select("g", F.explode(cells).alias("x"), "block", "rep", "text").select("g", "x.cell", "x.own", "block", "rep", "text")
+    counts = dealt.repartition("g", "cell").sortWithinPartitions("g", "cell", "rep").mapInArrow(_compare(threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links")).withColumnRenamed("rep", "linked")
+    named = reps.join(counts.hint("merge"), F.col("rep") == F.col("linked"), "left").select(F.col("class").alias("named"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return prints.join(named, F.col("class") == F.col("named"), "left").select("id", "class_id", "n_links")
+
+
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return fingerprint_with_edits(docs)

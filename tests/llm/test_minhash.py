@@ -48,3 +48,46 @@ def test_equal_texts_repeated_ids_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "other words are in this text")]
     got = minhash.op5(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and len({r.fingerprint for r in got}) == 2
+
+
+def exact_links(rows):
+    """class (least id of equal shingle sets) and number of like classes, by all pairs."""
+    sets, classes = {}, {}
+    for doc_id, text in sorted(rows):
+        sets.setdefault(frozenset(shingles(text or "")), doc_id)
+    links = {c: 0 for c in sets.values()}
+    every = list(sets.items())
+    for k, (a, i) in enumerate(every):
+        for b, j in every[k + 1 :]:
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                links[i] += 1
+                links[j] += 1
+    for doc_id, text in rows:
+        c = sets[frozenset(shingles(text or ""))]
+        classes[doc_id] = (c, links[c])
+    return classes
+
+
+def near_rows(spark, rows, **k):
+    return {r.id: (r.class_id, r.n_links) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **k).collect()}
+
+
+def test_near_duplicates_on_the_whole_table(spark, table):
+    rows = [(r.doc_id, r.text) for r in table("documents").collect()]
+    assert near_rows(spark, rows) == exact_links(rows)
+
+
+def test_a_dense_group_in_several_cells(spark):
+    import random
+
+    rng = random.Random(8)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(200)] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(words)))
+    rows += [(100, None), (101, ""), (102, "lone text"), (103, "lone text")]
+    want = exact_links(rows)
+    assert near_rows(spark, rows) == near_rows(spark, rows, cell=7) == want and max(n for _, n in want.values()) > 5
+    assert near_rows(spark, []) == {}
