@@ -162,26 +162,38 @@ def _classes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, class string, signature binary")
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, by products of incidence matrices ``columns`` wide."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    out = np.zeros((len(sets), len(sets)))
+    if not len(row):
+        return out
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    more = count[column] > 1  # what one set alone has is not shared
+    row, column = row[more], (np.cumsum(count > 1) - 1)[column[more]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [low, low + columns])
+        part = np.zeros((len(sets), columns), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
 def _compare(threshold: float):
     """Counts, in each cell of sorted rows, the texts that each text is like; a pair is counted in one cell only."""
 
     def counted(rows: list[tuple]) -> list[tuple[int, int]]:
         data, offsets = text_buffer(pa.array([r[4] for r in rows], pa.large_string()))
         sets = [x for a, b in row_slices(offsets) for x in shingle_sets(data, offsets[a : b + 1])]
-        links = [0] * len(rows)
-        same = rows[0][1]
-        order = sorted(range(len(rows)), key=lambda k: len(sets[k]))
-        for k, i in enumerate(order):
-            for j in order[k + 1 :]:
-                if len(sets[i]) < threshold * len(sets[j]):
-                    break  # longer ones are less alike still
-                if not same and rows[i][2] == rows[j][2]:
-                    continue  # one block's own pairs are counted in its own cell
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= threshold * (len(sets[i]) + len(sets[j]) - shared):
-                    links[i] += 1
-                    links[j] += 1
-        return [(r[3], n) for r, n in zip(rows, links) if n]
+        shared, size = shared_counts(sets), np.array([len(x) for x in sets], dtype=float)
+        like = (shared > 0) & (shared >= threshold * (size[:, None] + size[None, :] - shared))
+        np.fill_diagonal(like, False)
+        if not rows[0][1]:  # one block's own pairs are counted in its own cell
+            block = np.array([r[2] for r in rows])
+            like &= block[:, None] != block[None, :]
+        return [(r[3], n) for r, n in zip(rows, like.sum(axis=1).tolist()) if n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
