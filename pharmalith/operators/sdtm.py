@@ -134,7 +134,8 @@ def timeline(data: Domains, full: bool = False) -> DataFrame:
     samples = samples.withColumns({"AVISITN": day.cast("int"), "AVISIT": F.concat(F.lit("Day "), day.cast("string"))})
     if full:
         samples = previous_nominal(previous_dose(samples, doses), doses)
-    both = samples.unionByName(doses, allowMissingColumns=True)
+    # dealt by subject once: the windows here and later, per subject or per subject and drug, need no shuffle of their own
+    both = samples.unionByName(doses, allowMissingColumns=True).repartition("USUBJID")
     own = Window.partitionBy("USUBJID", "DRUG")
     both = both.withColumns({"FANLDTM": F.min(F.when(F.col("EVID") == 1, F.col("ADTM"))).over(own), "min_NFRLT": F.min("NFRLT").over(own), "maxdate": F.max(F.when(F.col("EVID") == 0, F.col("ADT"))).over(own)})
     out = both.where("ADT <= maxdate").withColumn("AFRLT", hours_between(F.col("ADTM"), F.col("FANLDTM")))
@@ -167,13 +168,18 @@ def analysis_variables(rows: DataFrame) -> DataFrame:
     )
 
 
-def number_observations(rows: DataFrame, validate: bool = True) -> DataFrame:
-    """ASEQ: a row's number within its subject by AFRLT and EVID. With ``validate`` rows that tie raise."""
+def unique_events(rows: DataFrame) -> DataFrame:
+    """``rows``, which raise when they are computed if two of a subject tie in AFRLT and EVID. No pass of its own."""
     key = [*SUBJECT, "AFRLT", "EVID"]
-    if validate and (twice := rows.groupBy(*key).count().where("count > 1").first()):
-        raise ValueError(f"rows are not unique by {key}: {tuple(twice)}")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    text = F.concat_ws(" ", F.lit("events are not unique by subject, AFRLT and EVID:"), *[F.col(c).cast("string") for c in key])
+    return rows.withColumn("_n", n).withColumn("EVID", F.when(F.col("_n") > 1, F.raise_error(text).cast("int")).otherwise(F.col("EVID"))).drop("_n")
+
+
+def number_observations(rows: DataFrame, validate: bool = True) -> DataFrame:
+    """ASEQ: a row's number within its subject by AFRLT and EVID. With ``validate`` rows that tie raise (see ``unique_events``)."""
     order = Window.partitionBy(*SUBJECT).orderBy(F.col("AFRLT").asc_nulls_last(), "EVID")
-    return rows.withColumn("ASEQ", F.row_number().over(order))
+    return (unique_events(rows) if validate else rows).withColumn("ASEQ", F.row_number().over(order))
 
 
 def coded_subjects(adsl: DataFrame) -> DataFrame:
@@ -188,18 +194,15 @@ def sex_code() -> Column:
     return F.when(F.col("SEX") == "M", F.lit(1)).when(F.col("SEX") == "F", F.lit(2)).otherwise(F.lit(3))
 
 
-def baseline_vitals(vs: DataFrame) -> DataFrame:
-    """HTBL and WTBL per subject, in one pass. Heights, and weights at baseline, must be unique (see ``unique_or_raise``)."""
+def baseline_vitals(vs: DataFrame, validate: bool = True) -> DataFrame:
+    """HTBL and WTBL per subject, in one pass. With ``validate`` a subject with two heights, or two baseline weights, raises when computed."""
+    def only(value: Column, what: str) -> Column:
+        most = F.max(value)
+        return F.when(F.count(value) > 1, F.raise_error(F.concat(F.lit(f"more than one {what} of "), F.first("USUBJID"))).cast("double")).otherwise(most) if validate else most
+
     height = F.when(F.col("VSTESTCD") == "HEIGHT", F.col("VSSTRESN").cast("double"))
     weight = F.when((F.col("VSTESTCD") == "WEIGHT") & (F.col("VSBLFL") == "Y"), F.col("VSSTRESN").cast("double"))
-    return vs.groupBy(*SUBJECT).agg(F.max(height).alias("HTBL"), F.max(weight).alias("WTBL"))
-
-
-def unique_or_raise(vs: DataFrame) -> None:
-    """A subject with two heights, or two baseline weights, raises."""
-    wanted = (F.col("VSTESTCD") == "HEIGHT") | (F.col("VSTESTCD") == "WEIGHT") & (F.col("VSBLFL") == "Y")
-    if twice := vs.where(wanted).groupBy(*SUBJECT, "VSTESTCD").count().where("count > 1").first():
-        raise ValueError(f"more than one record of a subject's vital sign: {tuple(twice)}")
+    return vs.groupBy(*SUBJECT).agg(only(height, "height").alias("HTBL"), only(weight, "baseline weight").alias("WTBL"))
 
 
 def baseline_labs(lb: DataFrame) -> DataFrame:
@@ -222,20 +225,18 @@ def body_and_renal(subjects: DataFrame) -> DataFrame:
     )
 
 
-def covariates(data: Domains) -> DataFrame:
+def covariates(data: Domains, validate: bool = True) -> DataFrame:
     """A row per subject with all codes, vitals, labs and derived metrics."""
-    out = coded_subjects(data["adsl"]).join(baseline_vitals(data["vs"]), SUBJECT, "left").join(baseline_labs(data["lb"]), SUBJECT, "left")
+    out = coded_subjects(data["adsl"]).join(baseline_vitals(data["vs"], validate), SUBJECT, "left").join(baseline_labs(data["lb"]), SUBJECT, "left")
     return body_and_renal(out)
 
 
 def sdtm_to_adppk(data: Domains, validate: bool = True) -> DataFrame:
     """The full derivation, a row per event."""
     data = upper_domains(data)
-    if validate:
-        unique_or_raise(data["vs"])
     rows = number_observations(analysis_variables(timeline(data, full=True)), validate)
     shared = [c for c in rows.columns if c not in SUBJECT]
-    subjects = covariates(data)
+    subjects = covariates(data, validate)
     out = rows.join(subjects.drop(*[c for c in subjects.columns if c in shared]), SUBJECT, "left")
     parameters = F.create_map(*[F.lit(x) for k, v in PARAMETERS.items() for x in (k, v[0])])
     return out.withColumns({"PARAM": parameters[F.col("PARAMCD")], "ROUTE": F.lower("ROUTE"), "FORM": F.lower("FORM")}).where(~(F.col("DV").isNull() & (F.col("EVID") == 0)))
@@ -244,18 +245,15 @@ def sdtm_to_adppk(data: Domains, validate: bool = True) -> DataFrame:
 def sdtm_to_modeling(data: Domains, dictionary: object = None, validate: bool = True, ordered: bool = False) -> DataFrame:
     """The 18 columns of the modeling table. ``dictionary`` is accepted and not used.
 
-    With ``validate``, events of a subject that tie in AFRLT and EVID raise,
-    and so do repeated vitals; that takes two small jobs of their own.
+    With ``validate``, events of a subject that tie in AFRLT and EVID raise
+    when the rows are computed, and so do repeated vitals, within the one plan.
     """
     data = upper_domains(data)
-    rows = timeline(data)
-    if validate:
-        unique_or_raise(data["vs"])
-        number_observations(rows, True)
+    rows = unique_events(timeline(data)) if validate else timeline(data)
     dose = F.col("EVID") == 1
     dv = F.when(~dose, F.col("PCSTRESN").cast("double"))
     subjects = data["adsl"].select(*SUBJECT, F.col("SUBJID").alias("ID"), sex_code().alias("SEXN"), F.col("AGE").cast("double").alias("AGE"), F.col("ARM").alias("COHORT"), "SITEID", "RACE", "ETHNIC", "COUNTRY")
-    subjects = subjects.join(baseline_vitals(data["vs"]).select(*SUBJECT, F.col("WTBL").alias("WT")), SUBJECT, "left")
+    subjects = subjects.join(baseline_vitals(data["vs"], validate).select(*SUBJECT, F.col("WTBL").alias("WT")), SUBJECT, "left")
     events = rows.select(
         *SUBJECT, F.col("NFRLT").alias("TIME"), dv.alias("DV"), F.when(dose | dv.isNull(), F.lit(1)).otherwise(F.lit(0)).alias("MDV"), "EVID", F.lit(0.0).alias("SS"), F.lit(0.0).alias("II"), F.when(dose, F.col("EXDOSE").cast("double")).alias("AMT"),
         F.lower("EXROUTE").alias("ROUTE"), F.lower("EXDOSFRM").alias("FORM"), "AFRLT",

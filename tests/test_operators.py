@@ -236,11 +236,11 @@ def test_doses_after_the_last_sample_go_and_undosed_samples_too(spark):
 
 
 def test_ties_and_repeated_vitals_raise(spark):
-    with pytest.raises(ValueError):
-        sdtm_to_modeling(domains(spark, EX, [*PC, PC[0]]))
+    with pytest.raises(Exception, match="not unique"):
+        sdtm_to_modeling(domains(spark, EX, [*PC, PC[0]])).collect()
     assert sdtm_to_modeling(domains(spark, EX, [*PC, PC[0]]), validate=False).count() == 6
-    with pytest.raises(ValueError):
-        sdtm_to_modeling(domains(spark, EX, PC, [("01", "01-2-3", "WEIGHT", 70.0, "Y")] * 2))
+    with pytest.raises(Exception, match="more than one baseline weight"):
+        sdtm_to_modeling(domains(spark, EX, PC, [("01", "01-2-3", "WEIGHT", 70.0, "Y")] * 2)).collect()
 
 
 def test_dose_expansion_caps_like_filtering_after(spark):
