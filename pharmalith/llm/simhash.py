@@ -11,7 +11,7 @@ meets is compared over all 64 bits.
 Only distinct fingerprints are entered, so exact copies cost nothing.  A dense
 group of near copies would still meet in one bucket: a bucket emits links that
 span it, never all its pairs, and one with many members is cut into cells of
-at most ``2 * BLOCK`` rows, any two blocks sharing a cell.
+about ``2 * BLOCK`` rows, any two blocks sharing a cell.
 """
 
 from __future__ import annotations
@@ -277,10 +277,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     an id stay, for no link names them.
     """
     groups = materialise(near_duplicates(docs, id_col, text_col), "groups")
-    kept = groups.where("id = component").select(F.col("id").alias("_id"))
+    kept = groups.where("id = component").select("id")
     repeated = groups.where("id = component").groupBy("id").count().where("count > 1").limit(1).count() > 0
-    at = F.col(id_col).cast("long")
-    out = docs.where(at.isNotNull()).join(kept, at == F.col("_id"), "left_semi")
+    at = docs[id_col].cast("long")
+    out = docs.where(at.isNotNull()).join(kept, at == kept["id"], "left_semi")
     if repeated:
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.where(at.isNull()))
