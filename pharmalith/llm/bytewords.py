@@ -85,6 +85,20 @@ class Words:
                 at, left = at[more] + 8, left[more] - 8
 
 
+    def prefix_hashes(self, size: int) -> np.ndarray:
+        """64-bit hashes of the first ``size`` bytes (8 at most) of each longer word; zero for others."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded.data, strides=(1,))
+        with np.errstate(over="ignore"):
+            h = (eight[self.starts] & _KEEP[size]) ^ (np.uint64(size) * _M2)
+            h *= _M1
+            h ^= h >> np.uint64(29)
+            h *= _M2
+            h ^= h >> np.uint64(32)
+        h[self.ends - self.starts <= size] = 0
+        return h
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     """Words of rows; ``offsets`` may begin anywhere in ``data``. A-Z count as a-z."""
     low = _LOWER[data[offsets[0] : offsets[-1]]]

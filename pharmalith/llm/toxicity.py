@@ -2,11 +2,12 @@
 
 Model: P(grade <= k) = sigmoid(threshold_k - w.x), one weight vector for all
 thresholds, thresholds in ascending order.  x has log2(1 + count) of the words
-that the training rows tell apart; the output is the expected grade.
+and beginnings of words (``PREFIXES`` bytes, which inflected and compound forms
+share) that the training rows tell apart; the output is the expected grade.
 
 The label table says toxic or not.  Grades come from it by rule: 0 for not
-toxic; a toxic row has grade 1, 2 or 3 with at most one, two or three, or more
-distinct words that are markedly more frequent in toxic rows.
+toxic; a toxic row has grade 1, 2 or 3 by how many distinct features it has
+that are markedly more frequent in toxic rows: under 4, under 10, or more.
 
 Only fitting uses a bounded sample (``TRAIN_ROWS`` labelled rows, chosen by a
 hash of their ids); scoring reads every whole text.
@@ -21,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bytewords import ALNUM, row_slices, text_buffer, words_of
+from .bytewords import ALNUM, Words, row_slices, text_buffer, words_of
 
 #: The bound of the training sample, in labelled rows.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 4000
 GRADES = 4
+PREFIXES = (4, 5)
+#: Features that may be taken for telling by chance.
+CHANCE = 10.0
 #: Expected severity from which a document counts as toxic.
 REJECT_FROM = 0.5
 #: Variance of the weights' normal prior.
@@ -48,13 +52,19 @@ class Model:
         doc = words_of(data, offsets, ALNUM)
         score = np.zeros(len(offsets) - 1)
         if len(self.words) and len(doc.starts):
-            row, word, count = _counts(doc.hashes(), doc.rows, self.words, self.maybe)
+            row, word, count = _counts(*_features(doc), self.words, self.maybe)
             score = np.bincount(row, self.weights[word] * np.log2(1 + count), len(score))
         up_to = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
         exact = np.diff(np.concatenate([np.zeros((len(score), 1)), up_to, np.ones((len(score), 1))], axis=1), axis=1)
         return exact @ np.arange(exact.shape[1]), exact.argmax(axis=1)
 
 
+def _features(doc: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every word and of its beginnings (zero where it has none), and each row's first."""
+    every = [doc.hashes(), *(doc.prefix_hashes(k) for k in PREFIXES)]
+    return np.stack(every, axis=1).reshape(-1), doc.rows * len(every)
+
+
 def _counts(hashes: np.ndarray, rows: np.ndarray, known: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, number of the known word, and count, for every known word of each row."""
     at = np.flatnonzero(maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
@@ -80,9 +90,9 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col
             hashed, counted = [], []
             for first, last in row_slices(offsets):
                 doc = words_of(data, offsets[first : last + 1], ALNUM)
-                h = doc.hashes()
-                for a, b in zip(doc.rows[:-1], doc.rows[1:]):
-                    word, count = np.unique(h[a:b], return_counts=True)
+                h, rows = _features(doc)
+                for a, b in zip(rows[:-1], rows[1:]):
+                    word, count = np.unique(h[a:b][h[a:b] != 0], return_counts=True)
                     hashed.append(word.tobytes())
                     counted.append(np.minimum(count, 65535).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashed, pa.binary()), pa.array(counted, pa.binary())], ["id", "toxic", "words", "counts"])
@@ -105,6 +115,8 @@ def _told_apart(df: np.ndarray, df_toxic: np.ndarray, n: int, n_toxic: int) -> t
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on a bounded sample of labelled rows. Without rows of both kinds nothing counts as toxic."""
     got = sorted(_sample(docs, labels, rows, id_col, text_col, label_col), key=lambda r: (r.id, bytes(r.words)))
+    seen: set[tuple] = set()  # copies would make their own words look telling
+    got = [r for r in got if (k := (bytes(r.words), bytes(r.counts), r.toxic)) not in seen and not seen.add(k)]
     toxic = np.array([r.toxic > 0 for r in got], dtype=bool)
     n, n_toxic = len(got), int(toxic.sum())
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 30.0) + np.arange(GRADES - 1))
@@ -117,15 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     df = np.bincount(word, minlength=len(known)).astype(float)
     df_toxic = np.bincount(word, toxic[row].astype(float), len(known))
     ratio, more = _told_apart(df, df_toxic, n, n_toxic)
-    # about half a word of all passes by chance (the ratio's tail is near exp(-g / 2))
-    told = ratio > 2 * np.log(2 * max(len(known), 2))
+    # the ratio's tail is near exp(-g / 2): of all features about CHANCE pass by chance
+    told = ratio > 2 * np.log(max(len(known) / CHANCE, 2))
     if not (told & more).any():
         return none
     place = np.cumsum(told) - 1
     some = told[word]
     x_row, x_word, x = row[some], place[word[some]], np.log2(1 + counts[some].astype(float))
     marked = np.bincount(row, (told & more)[word].astype(float), n)
-    grade = np.where(toxic, 1 + np.searchsorted([2, 4], marked, side="right"), 0)
+    grade = np.where(toxic, 1 + np.searchsorted([4, 10], marked, side="right"), 0)
     return Model(known[told], *_ordinal(x_row, x_word, x, grade, n, int(told.sum())))
 
 
