@@ -11,6 +11,9 @@ with four fifths of its shingles with (1 - 0.279)**28 = 1e-4.  Windows that
 meet a template are then compared exactly: the share of the template's
 shingles that the window's part of the document has.
 
+A template of fewer words than a shingle is looked for word for word, ending
+where a sentence, clause or line ends.
+
 Windows run over all texts of a slice, so a window may touch two documents;
 only the part in one document counts in the comparison.
 """
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bytewords import ALNUM, row_slices, shingle_hashes, text_buffer, words_of
+from .bytewords import ALNUM, Words, row_slices, shingle_hashes, text_buffer, words_of
 
 SHINGLE = 5
 BANDS = 28
@@ -63,6 +66,7 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
+    ("Proprietary", "All rights reserved."),
 ]
 
 
@@ -86,18 +90,22 @@ class Index:
     names: list[str]
     shingles: list[np.ndarray]
     levels: dict[int, list[int]]
+    #: word hashes of the templates of fewer words than a shingle
+    short: list[tuple[str, np.ndarray]]
 
     @classmethod
     def build(cls, templates: list[tuple[str, str]], size: int = SHINGLE) -> Index:
         data, offsets = text_buffer(pa.array([t for _, t in templates], pa.string()))
         doc = words_of(data, offsets, ALNUM)
-        shingles, firsts = shingle_hashes(doc.hashes(), doc.rows, size)
+        words = doc.hashes()
+        shingles, firsts = shingle_hashes(words, doc.rows, size)
+        short = [(name, words[a:b]) for (name, _), a, b in zip(templates, doc.rows[:-1], doc.rows[1:]) if 0 < b - a < size]
         own = [np.unique(shingles[a:b]) for a, b in zip(firsts[:-1], firsts[1:])]
         levels: dict[int, list[int]] = {}
         for k, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
             if b > a:
                 levels.setdefault(level_of(int(b - a))[0], []).append(k)
-        return cls([n for n, _ in templates], own, levels)
+        return cls([n for n, _ in templates], own, levels, short)
 
     def __post_init__(self) -> None:
         self.values: dict[int, list[np.ndarray]] = {}
@@ -156,6 +164,29 @@ class Index:
                     row += 1
         return out
 
+    def search_short(self, doc: Words, hashes: np.ndarray) -> dict[tuple[int, str], tuple[int, int]]:
+        """(row, license) -> first and last word of the places where a short template stands and a sentence, clause or line ends."""
+        out: dict[tuple[int, str], tuple[int, int]] = {}
+        for name, words in self.short:
+            n = len(words)
+            at = np.flatnonzero(hashes[: len(hashes) - n + 1] == words[0]) if len(hashes) >= n else np.zeros(0, np.int64)
+            for k in range(1, n):
+                at = at[hashes[at + k] == words[k]]
+            for first in at.tolist():
+                row = int(np.searchsorted(doc.rows, first, side="right")) - 1
+                past = first + n
+                if past > doc.rows[row + 1]:
+                    continue  # the words are of two rows
+                if past < doc.rows[row + 1]:
+                    gap = doc.data[doc.ends[past - 1] : doc.starts[past]].tobytes()
+                    # blanks go on, and one sign between two words joins them
+                    if not gap.strip(b" \t") or len(gap) == 1 and gap not in b"\r\n":
+                        continue
+                a, b = first - int(doc.rows[row]), past - 1 - int(doc.rows[row])
+                low, high = out.get((row, name), (a, b))
+                out[row, name] = min(low, a), max(high, b)
+        return out
+
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
     """``id, license, containment, first_word, last_word``: a row per document and license found in it.
@@ -172,14 +203,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
             ids = batch.column(0).to_pylist()
             for first, last in row_slices(offsets):
                 doc = words_of(data, offsets[first : last + 1], ALNUM)
-                shingles, firsts = shingle_hashes(doc.hashes(), doc.rows, size)
+                hashes = doc.hashes()
+                shingles, firsts = shingle_hashes(hashes, doc.rows, size)
                 words = np.diff(doc.rows)
-                found = sorted(index.search(shingles, firsts, contained).items()) if len(shingles) else []
+                by_row = {key: [v[0], v[1], min(v[2] + size - 1, int(words[key[0]]) - 1)] for key, v in index.search(shingles, firsts, contained).items()} if len(shingles) else {}
+                for key, (a, b) in index.search_short(doc, hashes).items():
+                    seen = by_row.setdefault(key, [1.0, a, b])
+                    seen[:] = 1.0, min(seen[1], a), max(seen[2], b)
+                found = sorted(by_row.items())
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([ids[first + r] for (r, _), _ in found], pa.int64()), pa.array([x for (_, x), _ in found]), pa.array([v[0] for _, v in found], pa.float64()),
-                            pa.array([v[1] for _, v in found], pa.int64()), pa.array([min(v[2] + size - 1, int(words[r]) - 1) for (r, _), v in found], pa.int64()),
+                            pa.array([v[1] for _, v in found], pa.int64()), pa.array([v[2] for _, v in found], pa.int64()),
                         ],
                         ["id", "license", "containment", "first_word", "last_word"],
                     )
