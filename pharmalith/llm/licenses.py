@@ -9,7 +9,10 @@ one row: a window and a template meet if any least value agrees.  A window
 with a whole template is missed with probability (1 - 3/8)**28 = 2e-6, one
 with four fifths of its shingles with (1 - 0.279)**28 = 1e-4.  Windows that
 meet a template are then compared exactly: the share of the template's
-shingles that the window's part of the document has.
+shingles that the window's part of the document has.  Templates of different
+licenses may share most of their shingles; a match must also have some of the
+shingles that tell it from each such rival (name and version), and yields to a
+rival that matches the same words better.
 
 A template of fewer words than a shingle is looked for word for word, ending
 where a sentence, clause or line ends.
@@ -33,6 +36,8 @@ SHINGLE = 5
 BANDS = 28
 #: Share of a template's shingles that a match has at least.
 CONTAINED = 0.8
+#: Share of its shingles in a template of another license from which that one is a template's rival.
+RIVAL = 0.5
 
 _rng = np.random.default_rng(19991231)
 _A = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,8 +56,10 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -118,6 +125,11 @@ class Index:
                 table = np.zeros(1 << 16, dtype=bool)
                 table[v & 0xFFFF] = True
                 self.maybe[length].append(table)
+        #: template -> {rival: the template's shingles that the rival lacks}
+        self.telling: list[dict[int, np.ndarray]] = []
+        for k, mine in enumerate(self.shingles):
+            shared = {r: np.isin(mine, other) for r, other in enumerate(self.shingles) if self.names[r] != self.names[k]}
+            self.telling.append({r: mine[~x] for r, x in shared.items() if len(mine) and RIVAL <= x.mean() < 1})
 
     def search(self, shingles: np.ndarray, firsts: np.ndarray, contained: float = CONTAINED) -> dict[tuple[int, str], list]:
         """(row, license) -> [greatest share, first and last shingle of matched windows' shared part]."""
@@ -143,7 +155,7 @@ class Index:
                 of_level = met.setdefault(goal, {})
                 for at in hits.tolist():
                     of_level.setdefault(at * step, set()).update(members[k] for k in np.flatnonzero(mins == value[at]))
-        out: dict[tuple[int, str], list] = {}
+        matches: dict[int, list[tuple[int, float, int, int, dict[int, float]]]] = {}  # row -> template, share, first and last shingle, share of what tells it from each rival
         for length, windows in met.items():
             for at, templates in windows.items():
                 stop = min(at + length, n)
@@ -156,12 +168,20 @@ class Index:
                         if not shared.any():
                             continue
                         share = len(np.unique(part[shared])) / len(self.shingles[k])
-                        if share >= contained:
+                        if share < contained:
+                            continue
+                        told = {r: float(np.isin(x, part).mean()) for r, x in self.telling[k].items()}
+                        if all(told.values()):
                             where = np.flatnonzero(shared)
-                            first, last = low + int(where[0]) - int(firsts[row]), low + int(where[-1]) - int(firsts[row])
-                            seen = out.setdefault((row, self.names[k]), [share, first, last])
-                            seen[0], seen[1], seen[2] = max(seen[0], share), min(seen[1], first), max(seen[2], last)
+                            matches.setdefault(row, []).append((k, share, low + int(where[0]) - int(firsts[row]), low + int(where[-1]) - int(firsts[row]), told))
                     row += 1
+        out: dict[tuple[int, str], list] = {}
+        for row, found in matches.items():
+            for k, share, first, last, told in found:
+                if any(r in told and told[r] < 0.5 and better > share and a <= last and first <= b for r, better, a, b, _ in found):
+                    continue  # a rival has these words
+                seen = out.setdefault((row, self.names[k]), [share, first, last])
+                seen[0], seen[1], seen[2] = max(seen[0], share), min(seen[1], first), max(seen[2], last)
         return out
 
     def search_short(self, doc: Words, hashes: np.ndarray) -> dict[tuple[int, str], tuple[int, int]]:
