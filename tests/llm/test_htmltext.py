@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -39,13 +42,91 @@ def test_kinds_of_pages(page):
 def test_details():
     assert main_text("<article><h1> A\n title </h1><p>one&nbsp;two\t three<br>four</p>tail <b>bold</b></article>") == "A title\none two three four\ntail bold"
     assert main_text("<article><p>x &lt;b&gt; &#233;&eacute; &amp;amp;</p></article>") == "x <b> éé &amp;"
-    assert main_text("<article>one<br><br>two</article>") == "one\ntwo"
+    assert main_text("<article>one<br><br>two</article>") == "one two"
+    assert main_text("<p>a<br>b</p ><p title='x > y'>c</p><p title=it's>d</p>") == "a b\nc\nd"
     assert main_text("<p>a < b and c > d, 1<2</p>") == "a < b and c > d, 1<2"
     assert main_text("plain words only") == "plain words only"
     for page in (None, "", "<", "<p", "<!--", "<script>", "</p></div>", "<a href='x", "<b><p></b></p>", "<html><body></body></html>"):
         assert isinstance(main_text(page), str)
 
 
+DENSE = "".join(f"<p>Paragraph {k} has quite a number of words in it, so that it is dense text.</p>" for k in range(5))
+LINES = [f"Paragraph {k} has quite a number of words in it, so that it is dense text." for k in range(5)]
+LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>link number {k}</a></li>" for k in range(40)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        *[(f"<body><div class='{c}'>{DENSE}</div>", LINES) for c in ("content has-sidebar", "no-sidebar", "widget-content", "content-with-menu", "share-story", "has-footer", "widget")],
+        (f"<body><article class='post has-sidebar'><div class='related-work'>{DENSE}</div></article>", LINES),
+        (f"<body><form action=x>{DENSE}<input><select><option>one</select><button>Go</button></form>", LINES),
+        (f"<body><main><article><h1>One</h1>{DENSE}</article><article><h1>Two</h1><p>Shorter but still a sentence of text.</p><p>ok</p></article>{LINKS}</main>", ["One", *LINES, "Two", "Shorter but still a sentence of text.", "ok"]),
+        (f"<body><div>{LINKS}</div><h1>Title</h1><div>{DENSE}</div><div><h3><a href=x>Read this</a></h3><p><a href=y>and more of it</a></p></div>", ["Title", *LINES]),
+        (f"<body><article><h1>T</h1><section><h2>a</h2>{DENSE}</section><p>x</p><section><h2>b</h2><p>short</p></section></article><footer>{DENSE * 3}</footer>", ["T", "a", *LINES, "x", "b", "short"]),
+        (f"<body>{LINES[0]}<div>{DENSE}</div>{LINES[1]} <b>and</b> so on.", [LINES[0], *LINES, LINES[1] + " and so on."]),
+        (f"<body><div class=ad>{'Buy it now. ' * 20}</div><article><h1>T</h1><p>Short.</p></article>", ["T", "Short."]),
+    ],
+)
+def test_density_decides(page, want):
+    assert main_text(page).split("\n") == want
+
+
+def brute(node, share):
+    """Characters, tags, link characters and links of a tree of (tag, children), and the densities of it and of all below, by recursion."""
+    tag, children = node
+    chars = tags = links = link_tags = 0
+    below, total = [], 0.0
+    for c in children:
+        if isinstance(c, str):
+            chars += len(re.sub(r"\s", "", c))
+        else:
+            (a, b, x, y), own, rest = brute(c, share)
+            chars, tags, links, link_tags, total = chars + a, tags + 1 + b, links + x, link_tags + y, total + own
+            below += rest
+    if tag == "a":
+        links, link_tags = chars, link_tags + 1
+    t, lc, lt = max(tags, 1), max(links, 1), max(link_tags, 1)
+    own = 0.0 if not chars else chars / t * max(math.log(chars / lc * t / lt), 0) / math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+    return (chars, tags, links, link_tags), own, [(tag, own, total), *below]
+
+
+def test_composite_density_is_the_formula():
+    """Random trees: densities and sums by recursion over the definition, and the core is the node of the greatest sum."""
+    rng = random.Random(5)
+
+    def tree(depth):
+        kids = [rng.choice(["word " * rng.randrange(30), tree(depth - 1) if depth else "leaf", ("a", ["link " * rng.randrange(1, 5)])]) for _ in range(rng.randrange(1, 5))]
+        return (rng.choice(["div", "section", "span"]), kids)
+
+    def text(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(text, node[1]))}</{node[0]}>"
+
+    for _ in range(60):
+        whole = ("body", [tree(4), tree(3)])
+        (chars, _, links, _), _, _ = brute(whole, 0.0)
+        _, _, want = brute(whole, links / chars if chars else 0.0)
+        _, got = htmltext.measure(htmltext.parse(text(whole)))
+        assert [(x.tag, pytest.approx(x.density), pytest.approx(x.sum)) for x in got] == want
+        core = max(range(len(want)), key=lambda k: want[k][2])
+        assert want[core][2] == 0 or any(x is got[core] or _within(got[core], x) for x in htmltext.content(got[0].parent))
+
+
+def _within(x, top):
+    while x is not None and x is not top:
+        x = x.parent
+    return x is top
+
+
+@pytest.mark.parametrize(
+    "page", ["<span>" * 160_000, '<a x="' * 160_000, '<a x=">' * 120_000, "<a x='\">" * 110_000, "<b><i>" * 80_000 + "</b>" * 80_000, "<p>" + "<span>" * 80_000 + "<div>" * 50_000, "<![CDATA[" * 100_000, "<!--" * 200_000, "<b><div>" + "<span>" * 80_000 + "</b>" * 80_000, "<ul>" + "<li><span>" * 80_000, "<script>" + "</scrip" * 140_000, "<" * 1_000_000]
+)
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 8  # a second or two when the machine is idle; quadratic time would be minutes
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     long = "word " * 200_000
