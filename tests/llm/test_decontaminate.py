@@ -71,3 +71,23 @@ def test_filter_keeps_clean_rows_whole(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 2, 3]
     bench = spark.createDataFrame([(1, "b c d e f g h i j k")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 2, 3]
+
+
+def test_tables_of_a_large_benchmark_still_move_the_search():
+    """100,000 windows: most entries of the table are not zero, buckets are short, and the search finds what is planted."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pharmalith.llm.bytewords import ALNUM, text_buffer, words_of
+
+    rng = random.Random(6)
+    items = [(str(k), " ".join(f"w{rng.randrange(50_000)}" for _ in range(209))) for k in range(500)]
+    names, groups = decontaminate.build_patterns(items)
+    (patterns,) = groups
+    assert len(patterns.text) == 100_000 and (patterns.shift == 0).mean() < 0.1 and np.unique(patterns.tails, return_counts=True)[1].max() < 8
+    plain = [f"w{rng.randrange(50_000)}" for _ in range(5000)]
+    plain[1000:1000] = items[7][1].split()[50:65]
+    data, offsets = text_buffer(pa.array([" ".join(plain)], pa.string()))
+    doc = words_of(data, offsets, ALNUM)
+    at, which = patterns.search(doc, doc.hashes())
+    assert sorted(at.tolist()) == list(range(1000, 1006)) and {names[i] for p in which for i in patterns.items[p]} == {"7"}
