@@ -5,16 +5,23 @@ thresholds, thresholds in ascending order.  x has log2(1 + count) of the words
 and beginnings of words (``PREFIXES`` bytes, which inflected and compound forms
 share) that the training rows tell apart; the output is the expected grade.
 
-The label table says toxic or not.  Grades come from it by rule: 0 for not
-toxic; a toxic row has grade 1, 2 or 3 by how many distinct features it has
-that are markedly more frequent in toxic rows: under 4, under 10, or more.
+The label table only says toxic or not, so severity is no human judgement.
+Grade 0 is a row that is not toxic; a toxic row has grade 1, 2 or 3 by how many
+distinct words it has that are markedly more frequent in the toxic rows of the
+other half of the sample: under 2, under 5, or more.  So a row's grade doesn't
+come from its own label's part in choosing features, but it does come from
+words, and the order of grades says how much marked language a text has.
 
 Only fitting uses a bounded sample (``TRAIN_ROWS`` labelled rows, chosen by a
-hash of their ids); scoring reads every whole text.
+hash of their ids).  Its features are counted and chosen in Spark; the driver
+gets at most ``MOST_FEATURES`` of them, and of each row the counts of those.
+Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytewords import ALNUM, Words, row_slices, text_buffer, words_of
+from .shared import materialise
 
 #: The bound of the training sample, in labelled rows.
 TRAIN_ROWS = 4000
+#: The most features of a model, the most telling ones.
+MOST_FEATURES = 20_000
 GRADES = 4
 PREFIXES = (4, 5)
+#: Telling words of a toxic row from which its grade is 2, and 3.
+GRADE_FROM = (2, 5)
 #: Features that may be taken for telling by chance.
 CHANCE = 10.0
 #: Expected severity from which a document counts as toxic.
@@ -76,8 +88,8 @@ def _counts(hashes: np.ndarray, rows: np.ndarray, known: np.ndarray, maybe: np.n
     return both // len(known), both % len(known), count
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> list:
-    """Label, word hashes and counts of the training rows: at most ``rows`` of them reach the driver."""
+def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``id, toxic, words, counts`` of at most ``rows`` labelled rows, a written table; equal rows are one."""
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
         .where("label_id is not null and toxic is not null").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
@@ -87,23 +99,71 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            hashed, counted = [], []
             for first, last in row_slices(offsets):
                 doc = words_of(data, offsets[first : last + 1], ALNUM)
-                h, rows = _features(doc)
-                for a, b in zip(rows[:-1], rows[1:]):
+                h, at = _features(doc)
+                hashed, counted, digest = [], [], []
+                for a, b in zip(at[:-1], at[1:]):
                     word, count = np.unique(h[a:b][h[a:b] != 0], return_counts=True)
-                    hashed.append(word.tobytes())
-                    counted.append(np.minimum(count, 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashed, pa.binary()), pa.array(counted, pa.binary())], ["id", "toxic", "words", "counts"])
+                    hashed.append(word.astype("<u8").tobytes())
+                    counted.append(count.astype("<u4").tobytes())
+                    digest.append(hashlib.blake2b(hashed[-1] + counted[-1], digest_size=16).hexdigest())
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest), pa.array(hashed, pa.binary()), pa.array(counted, pa.binary())], ["id", "toxic", "digest", "words", "counts"])
 
     # at most `rows` ids and labels: small enough to send to every task
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-    return joined.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, words binary, counts binary").collect()
+    every = materialise(joined.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, digest string, words binary, counts binary"), "sample")
+    # copies would make their own words look telling
+    firsts = every.groupBy("digest", "toxic").agg(F.min("id").alias("least")).select(F.col("digest").alias("of"), F.col("toxic").alias("label"), "least")
+    kept = every.join(F.broadcast(firsts), (F.col("digest") == F.col("of")) & (F.col("toxic") == F.col("label")) & (F.col("id") == F.col("least")), "left_semi")
+    return kept.dropDuplicates(["digest", "toxic"]).select("id", "toxic", "words", "counts")
+
+
+def _frequencies(sample: DataFrame) -> DataFrame:
+    """``word, df, df_toxic``: how many rows, and toxic rows, have each feature; partial sums by task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
+            if not words:
+                continue
+            toxic = np.repeat(np.array(batch.column(0).to_pylist()) > 0, [len(x) for x in words])
+            known, at, df = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(df.astype(np.int64)), pa.array(np.bincount(at, toxic, len(known)).astype(np.int64))], ["word", "df", "df_toxic"])
+
+    parts = sample.select("toxic", "words").mapInArrow(run, "word long, df long, df_toxic long")
+    return parts.groupBy("word").agg(F.sum("df").alias("df"), F.sum("df_toxic").alias("df_toxic"))
+
+
+def _ratio(n: int, n_toxic: int):
+    """Likelihood ratio of a feature against chance, as an expression over df and df_toxic."""
+    share = n_toxic / n
+    df, seen = F.col("df").cast("double"), F.col("df_toxic").cast("double")
+
+    def term(found, expected):
+        return F.when(found > 0, found * F.log(found / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
+
+    return 2 * (term(seen, df * share) + term(df - seen, df * (1 - share)) + term(n_toxic - seen, (n - df) * share) + term(n - n_toxic - df + seen, (n - df) * (1 - share)))
+
+
+def _counts_of(sample: DataFrame, known: np.ndarray) -> list:
+    """Of each sampled row the places and counts of known features; a list of at most ``TRAIN_ROWS`` rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, count = [], []
+            for words, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words = np.frombuffer(words, "<u8")
+                place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                hit = known[place] == words
+                at.append(place[hit].astype("<u4").tobytes())
+                count.append(np.frombuffer(counts, "<u4")[hit].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(count, pa.binary())], ["id", "toxic", "at", "counts"])
+
+    return sorted(sample.mapInArrow(run, "id long, toxic int, at binary, counts binary").collect(), key=lambda r: (r.id, r.toxic, bytes(r.at)))
 
 
 def _told_apart(df: np.ndarray, df_toxic: np.ndarray, n: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
-    """Likelihood ratio of each word against chance, and whether toxic rows have it more often."""
+    """Likelihood ratio of each feature against chance, and whether toxic rows have it more often."""
     def term(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
@@ -112,33 +172,42 @@ def _told_apart(df: np.ndarray, df_toxic: np.ndarray, n: int, n_toxic: int) -> t
     return g, df_toxic > df * share
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of labelled rows. Without rows of both kinds nothing counts as toxic."""
-    got = sorted(_sample(docs, labels, rows, id_col, text_col, label_col), key=lambda r: (r.id, bytes(r.words)))
-    seen: set[tuple] = set()  # copies would make their own words look telling
-    got = [r for r in got if (k := (bytes(r.words), bytes(r.counts), r.toxic)) not in seen and not seen.add(k)]
-    toxic = np.array([r.toxic > 0 for r in got], dtype=bool)
-    n, n_toxic = len(got), int(toxic.sum())
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_FEATURES) -> Model:
+    """Fit on a bounded sample of labelled rows.
+
+    Without rows of both kinds, and so on empty tables, nothing counts as
+    toxic.  Null texts have no words; labels or ids that are null are left
+    out; a repeated label counts as toxic if any of its rows does.
+    """
+    sample = materialise(_sample(docs, labels, rows, id_col, text_col, label_col), "training")
+    n, n_toxic = (int(x or 0) for x in sample.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first())
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 30.0) + np.arange(GRADES - 1))
     if n_toxic in (0, n):
         return none
-    words = np.concatenate([np.frombuffer(r.words, np.uint64) for r in got])
-    counts = np.concatenate([np.frombuffer(r.counts, "<u2") for r in got])
-    row = np.repeat(np.arange(n), [len(r.words) // 8 for r in got])
-    known, word = np.unique(words, return_inverse=True)
-    df = np.bincount(word, minlength=len(known)).astype(float)
-    df_toxic = np.bincount(word, toxic[row].astype(float), len(known))
-    ratio, more = _told_apart(df, df_toxic, n, n_toxic)
+    seen = materialise(_frequencies(sample), "features")
     # the ratio's tail is near exp(-g / 2): of all features about CHANCE pass by chance
-    told = ratio > 2 * np.log(max(len(known) / CHANCE, 2))
-    if not (told & more).any():
+    limit = 2 * math.log(max(seen.count() / CHANCE, 2))
+    told = seen.withColumn("ratio", _ratio(n, n_toxic)).where(F.col("ratio") > limit).orderBy(F.desc("ratio"), "word").limit(most).collect()
+    told.sort(key=lambda r: r.word % (1 << 64))
+    known = np.array([r.word for r in told], dtype=np.int64).view(np.uint64)
+    if not any(r.df_toxic * n > r.df * n_toxic for r in told):
         return none
-    place = np.cumsum(told) - 1
-    some = told[word]
-    x_row, x_word, x = row[some], place[word[some]], np.log2(1 + counts[some].astype(float))
-    marked = np.bincount(row, (told & more)[word].astype(float), n)
-    grade = np.where(toxic, 1 + np.searchsorted([4, 10], marked, side="right"), 0)
-    return Model(known[told], *_ordinal(x_row, x_word, x, grade, n, int(told.sum())))
+    got = _counts_of(sample, known)
+    toxic = np.array([r.toxic > 0 for r in got])
+    x_row = np.repeat(np.arange(n), [len(r["at"]) // 4 for r in got])
+    x_word = np.concatenate([np.frombuffer(r["at"], "<u4") for r in got]).astype(np.int64)
+    x = np.log2(1 + np.concatenate([np.frombuffer(r["counts"], "<u4") for r in got]).astype(float))
+    # each half's grades by what the other half's rows tell apart
+    half = np.array([r.id for r in got]) // 2 % 2
+    marked = np.zeros(n)
+    for k in (0, 1):
+        other = half != k
+        df, df_toxic = (np.bincount(x_word, w[x_row].astype(float), len(known)) for w in (other, other & toxic))
+        ratio, more = _told_apart(df, df_toxic, max(int(other.sum()), 1), int((other & toxic).sum()))
+        telling = more & (ratio > limit / 2)  # half as many rows give half the ratio
+        marked += np.where(half == k, np.bincount(x_row, telling[x_word].astype(float), n), 0.0)
+    grade = np.where(toxic, 1 + np.searchsorted(GRADE_FROM, marked, side="right"), 0)
+    return Model(known, *_ordinal(x_row, x_word, x, grade, n, len(known)))
 
 
 def _ordinal(row: np.ndarray, word: np.ndarray, x: np.ndarray, grade: np.ndarray, n: int, width: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +241,13 @@ def _ordinal(row: np.ndarray, word: np.ndarray, x: np.ndarray, grade: np.ndarray
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, severity`` (expected grade), ``grade`` (most likely) of every row. Null reads as empty."""
+    """``id, severity`` (expected grade), ``grade`` (most likely) of every row.
+
+    Grades are made by rule from a label of two values (see the module).  Null
+    reads as empty; repeated rows are scored each for itself, whole texts
+    however long they are; other columns are left out; an empty table gives no
+    rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +260,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject_from: float = REJECT_FROM) -> DataFrame:
-    """The rows of ``docs`` below ``reject_from``, with all their columns. Rows are judged one by one."""
+    """The rows of ``docs`` below ``reject_from``, with all their columns, whatever these are named.
+
+    Rows are judged one by one, repeated ones too; null and empty texts stay;
+    an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

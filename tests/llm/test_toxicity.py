@@ -57,6 +57,33 @@ def test_edges(spark):
 
 def test_the_sample_is_bounded_and_repeats(spark):
     docs, labels, _ = corpus(spark, 300, 5)
-    assert len(toxicity._sample(docs, labels, 50, "doc_id", "text", "toxic")) == 50
+    assert toxicity._sample(docs, labels, 50, "doc_id", "text", "toxic").count() == 50
+    assert len(toxicity.fit(docs, labels, most=3).words) == 3
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7), labels.repartition(3))
     assert np.allclose(a.weights, b.weights) and (a.words == b.words).all()
+
+
+def test_features_are_chosen_as_numpy_would(spark):
+    docs, labels, _ = corpus(spark, 300, 7)
+    sample = toxicity._sample(docs, labels, 300, "doc_id", "text", "toxic")
+    rows = sample.collect()
+    n, toxic = len(rows), sum(r.toxic for r in rows)
+    got = {r.word: (r.df, r.df_toxic, r.ratio) for r in toxicity._frequencies(sample).withColumn("ratio", toxicity._ratio(n, toxic)).collect()}
+    df = {}
+    for r in rows:
+        for w in np.frombuffer(r.words, "<i8").tolist():
+            a, b = df.get(w, (0, 0))
+            df[w] = (a + 1, b + r.toxic)
+    assert {k: v[:2] for k, v in got.items()} == df
+    want, _ = toxicity._told_apart(*(np.array([v[k] for v in df.values()], dtype=float) for k in (0, 1)), n, toxic)
+    assert np.allclose([got[k][2] for k in df], want)
+
+
+def test_severity_orders_held_out_rows(spark):
+    """On rows that no feature was chosen on, more abuse gives a higher expected severity."""
+    docs, labels, _ = corpus(spark, 800, 11)
+    model, rng = toxicity.fit(docs, labels), random.Random(12)
+    rows = [(k, " ".join([rng.choice(GOOD) for _ in range(40)] + [rng.choice(BAD) for _ in range(k % 6)])) for k in range(300)]
+    got = {r.id: r.severity for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    mean = [np.mean([got[k] for k in got if k % 6 == b]) for b in range(6)]
+    assert mean == sorted(mean) and mean[0] < 0.2
