@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +36,40 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's files within the shared one; ``close`` deletes it."""
+    return f"{shared_dir(spark)}/pharmalith-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the application's folder that nothing uses yet."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def close(spark: SparkSession) -> None:
+    """Delete all files that this application wrote to the shared folder. Results that read them can't be computed any more."""
+    _delete(spark, run_dir(spark))
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries made and run within drop their shuffle files as they end, rather than when the driver's garbage is collected."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -53,9 +79,12 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no later plan reads."""
     for df in tables:
         if path := getattr(df, "_written_at", None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def ship_package(spark: SparkSession) -> None:
