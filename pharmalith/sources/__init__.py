@@ -1,6 +1,6 @@
 """Readers, writers and tables in the shared folder."""
 
 from .tables import read_domains, read_table, write_csv
-from .shared import written
+from .shared import close, written
 
-__all__ = ["read_domains", "read_table", "write_csv", "written"]
+__all__ = ["close", "read_domains", "read_table", "write_csv", "written"]
