@@ -134,3 +134,10 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.n
             step *= _M2
             out = step if (width > k).all() else np.where(width > k, step, out)
     return out, firsts
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    doc = words_of(data, offsets, NOT_SPACE)
+    shingles, firsts = shingle_hashes(doc.hashes(), doc.rows, size)
+    return [np.unique(shingles[a:b]) for a, b in zip(firsts[:-1], firsts[1:])]

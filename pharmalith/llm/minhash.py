@@ -8,17 +8,16 @@ two texts' fingerprints agree in about the share of shingles they have in
 common; unlike minima agree by chance once in 65,536.  A text without words
 has the fingerprint of no shingles: all ones.
 
-Near duplicates: texts of equal shingle sets are one class.  Classes whose
-fingerprints agree in a whole band of ``BAND_ROWS`` values meet; meeting gives
-groups, joined through the least member of each band's bucket, so no bucket
-emits pairs.  Within a group, blocks of at most ``CELL`` texts are compared two
-at a time, with exact Jaccard likeness.  With 256 values in bands of 8, two
-texts of likeness 0.8 meet directly with probability 0.997, of 0.9 surely.
+Near duplicates (module ``neardups``): band keys of such minima are joined in
+Spark, and what meets is verified by exact Jaccard likeness.  The classes and
+components found travel to the texts with the ring below, so that texts are
+shuffled once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytewords import NOT_SPACE, row_slices, shingle_hashes, text_buffer, words_of
-from .components import connected_components
-from .shared import materialise
+from .neardups import hashed_rows, near_duplicates
 
 SHINGLE = 5
 PERMUTATIONS = 256
-BAND_ROWS = 8
-#: Likeness from which two texts are near duplicates.
-LIKE = 0.8
-#: Texts in a block of a group.
-CELL = 256
+#: Text of a shard, about, and the most shards.
+SHARD_BYTES = 256 << 20
+MOST_SHARDS = 4096
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -67,32 +63,63 @@ def hex_of(signature: np.ndarray) -> str:
     return signature.astype(">u2").tobytes().hex()
 
 
-def in_ring(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """``shard, guest, id, text``: all rows by descending id in shards, each followed by the first row after it.
+def _shards(rows: DataFrame, parts: int) -> list[tuple[int | None, int]]:
+    """Where shards of about equal numbers of rows begin, as (id, h) in ring order, the first shard's start left out.
 
-    Shards are ranges of ids, so a row's successor is the row after it in its
-    shard, or the guest at its end, which is the first row of the next shard
-    (of the first one, for the last).  Texts are shuffled once; guests add a row
-    per shard.  Null ids come last; rows of one id are in the order of their
-    texts.  The driver holds one id per shard.
+    Ids are cut at quantiles; an id with rows for several shards is cut by the
+    texts' hashes.  The driver holds a few values per shard.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 20 * parts).alias("q")).first().q if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    above = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda c: c > F.col("id")))) if cuts else F.lit(0)
-    placed = rows.withColumn("shard", above.cast("int"))
-    heads = sorted(tuple(x) for x in placed.groupBy("shard").agg(F.max("id")).collect())  # a row per shard
-    if not heads:
-        return placed.select("shard", F.lit(0).alias("guest"), "id", "text")
-    head, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
-    for k, (shard, first) in enumerate(heads):
-        head[shard], before[shard] = first, heads[k - 1][0]
-    own = F.struct(F.col("shard"), F.lit(0).alias("guest"))
-    there = F.struct(F.element_at(F.array(*[F.lit(x) for x in before]), F.col("shard") + 1).alias("shard"), F.lit(1).alias("guest"))
-    is_head = F.col("id").eqNullSafe(F.element_at(F.array(*[F.lit(x).cast("long") for x in head]), F.col("shard") + 1))
-    both = placed.select(F.explode(F.when(is_head, F.array(own, there)).otherwise(F.array(own))).alias("x"), "id", "text")
-    both = both.select("x.shard", "x.guest", "id", "text")
-    return both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "guest", F.desc_nulls_last("id"), "text")
+    if parts < 2:
+        return []
+    n, cuts = rows.agg(F.count("*"), F.percentile_approx("id", [k / parts for k in range(1, parts)], 20 * parts)).first()
+    starts: set[tuple[int | None, int]] = {(x, _LEAST) for x in cuts or []}
+    each = max(n / parts, 1)
+    for x, many in rows.groupBy("id").count().where(F.col("count") > 2 * each).collect():  # at most half as many as shards
+        own = math.ceil(many / each)
+        starts |= {(x, _LEAST + (k << 64) // own) for k in range(own)}
+    return sorted(starts, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+
+
+_LEAST = -(1 << 63)
+
+
+def in_ring(rows: DataFrame, parts: int, notes: DataFrame | None = None) -> DataFrame:
+    """``shard, guest, id, h, is_text, text, ...``: all ``id, h, text`` rows by descending id in shards, each followed by the first row after it.
+
+    Shards are ranges of the order (id descending, null last, then the text's
+    hash), so a row's successor is the row after it in its shard, or the guest
+    at its end, which is the first row of the next shard (of the first one, for
+    the last).  Texts are shuffled once; guests add a row per shard.  ``notes``
+    (a row for each id and h, and columns of its own) come before the texts
+    that they are about.
+    """
+    names = [c for c in notes.columns if c not in ("id", "h")] if notes is not None else []
+    starts = _shards(rows, parts)
+    places = F.array(*[F.struct(F.lit(x).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for x, h in starts]) if starts else None
+
+    def past(s):
+        after = F.when(s["id"].isNull(), F.col("id").isNull() & (F.col("h") >= s["h"])).when(F.col("id").isNull(), F.lit(True))
+        return after.otherwise((F.col("id") < s["id"]) | (F.col("id") == s["id"]) & (F.col("h") >= s["h"]))
+
+    shard = (F.size(F.filter(places, past)) if starts else F.lit(0)).cast("int").alias("shard")
+    placed = rows.select(shard, "id", "h", "text")
+    order = F.struct(F.col("id").isNull().alias("a"), F.bitwise_not("id").alias("b"), F.col("h").alias("c"))
+    heads = sorted((x.shard, x.first.a, x.first.b, x.first.c) for x in placed.groupBy("shard").agg(F.min(order).alias("first")).collect())  # a row per shard
+    if heads:
+        head, before = [(False, None, None)] * (len(starts) + 1), [0] * (len(starts) + 1)
+        for k, (at, *first) in enumerate(heads):
+            head[at], before[at] = tuple(first), heads[k - 1][0]
+        firsts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).cast("long").alias("b"), F.lit(c).cast("long").alias("c")) for a, b, c in head])
+        own = F.struct(F.col("shard"), F.lit(0).alias("guest"))
+        there = F.struct(F.element_at(F.array(*[F.lit(x) for x in before]), F.col("shard") + 1).alias("shard"), F.lit(1).alias("guest"))
+        is_head = order == F.element_at(firsts, F.col("shard") + 1)
+        placed = placed.select(F.explode(F.when(is_head, F.array(own, there)).otherwise(F.array(own))).alias("x"), "id", "h", "text").select("x.shard", "x.guest", "id", "h", "text")
+    else:
+        placed = placed.select("shard", F.lit(0).alias("guest"), "id", "h", "text")
+    every = placed.select("shard", "guest", "id", "h", F.lit(1).alias("is_text"), "text", *[F.lit(None).cast(notes.schema[c].dataType).alias(c) for c in names])
+    if notes is not None:
+        every = every.unionAll(notes.select(shard, F.lit(0), "id", "h", F.lit(0), F.lit(None).cast("string"), *names))
+    return every.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "guest", F.desc_nulls_last("id"), "h", "is_text")
 
 
 def edited(text: str, following: str) -> str:
@@ -102,142 +129,55 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Fingerprint every text and its edited text (see ``edited``), and compare with both neighbours.
+    """Fingerprint every text and its edited text (see ``edited``), compare with both neighbours, and name near duplicates.
 
-    Columns as ``op5`` returns them.  Null texts are empty; an only row follows itself.
+    Columns as ``op5`` returns them.  Null texts are empty; rows of one id
+    follow one another by their texts' hashes, rows without an id come last;
+    an only row follows itself; an empty table gives no rows.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    rows = hashed_rows(docs, id_col, text_col)
+    notes = near_duplicates(docs, id_col, text_col)
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = min(MOST_SHARDS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SHARD_BYTES)))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, component_id long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, waiting = None, None  # waiting: (id, text, signature) of the row whose successor comes next
+        shard, waiting, note = None, None, None  # waiting: (id, text, note, signature) of the row whose successor comes next
         for batch in batches:
-            _, offsets = text_buffer(batch.column(3))
+            _, offsets = text_buffer(batch.column(5))
             for first, last in row_slices(offsets):
                 part = batch.slice(first, last - first)
-                shards, guests, ids, texts = (c.to_pylist() for c in part.columns)
-                own = signatures_of(texts)
-                pairs = []
+                shards, guests, ids, hashes, is_text, texts, classes, components = (c.to_pylist() for c in part.columns)
+                own = signatures_of([x for x in texts if x is not None])
+                pairs, nth = [], 0
                 for k, at in enumerate(shards):
+                    if not is_text[k]:
+                        note = (ids[k], hashes[k], classes[k], components[k])
+                        continue
                     if at != shard:
                         shard, waiting = at, None
                     if waiting is not None:
-                        pairs.append((*waiting, texts[k], own[k]))
-                    waiting = (ids[k], texts[k], own[k]) if not guests[k] else None
+                        pairs.append((*waiting, texts[k], own[nth]))
+                    waiting = (ids[k], texts[k], note[2:], own[nth]) if not guests[k] else None
+                    nth += 1
                 if not pairs:
                     continue
-                new = [edited(text, following) for _, text, _, following, _ in pairs]
+                new = [edited(p[1], p[4]) for p in pairs]
                 sig = signatures_of(new)
-                mine, theirs = np.stack([p[2] for p in pairs]), np.stack([p[4] for p in pairs])
+                mine, theirs = np.stack([p[3] for p in pairs]), np.stack([p[5] for p in pairs])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(p[1]) for p in pairs], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in new]),
                         pa.array([hex_of(x) for x in mine]), pa.array([hex_of(x) for x in sig]), pa.array((mine == sig).mean(axis=1)), pa.array((mine == theirs).mean(axis=1)),
+                        pa.array([p[2][0] for p in pairs], pa.int64()), pa.array([p[2][1] for p in pairs], pa.int64()),
                     ],
                     [x.split()[0] for x in schema.split(", ")],
                 )
 
-    return in_ring(docs, id_col, text_col, parts).mapInArrow(run, schema)
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct shingles of each text, sorted."""
-    doc = words_of(data, offsets, NOT_SPACE)
-    shingles, firsts = shingle_hashes(doc.hashes(), doc.rows, size)
-    return [np.unique(shingles[a:b]) for a, b in zip(firsts[:-1], firsts[1:])]
-
-
-def _classes(docs: DataFrame) -> DataFrame:
-    """``id, class, signature`` of every row; equal shingle sets have equal classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            for first, last in row_slices(offsets):
-                part = offsets[first : last + 1]
-                names = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in shingle_sets(data, part)]
-                sigs = [x.astype(">u2").tobytes() for x in signatures(data, part)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(names), pa.array(sigs, pa.binary())], ["id", "class", "signature"])
-
-    return docs.mapInArrow(run, "id long, class string, signature binary")
-
-
-def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many elements each two sets share, by products of incidence matrices ``columns`` wide."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    out = np.zeros((len(sets), len(sets)))
-    if not len(row):
-        return out
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    more = count[column] > 1  # what one set alone has is not shared
-    row, column = row[more], (np.cumsum(count > 1) - 1)[column[more]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
-        a, b = np.searchsorted(column, [low, low + columns])
-        part = np.zeros((len(sets), columns), dtype=np.float32)
-        part[row[a:b], column[a:b] - low] = 1
-        out += part @ part.T
-    return out
-
-
-def _compare(threshold: float):
-    """Counts, in each cell of sorted rows, the texts that each text is like; a pair is counted in one cell only."""
-
-    def counted(rows: list[tuple]) -> list[tuple[int, int]]:
-        data, offsets = text_buffer(pa.array([r[4] for r in rows], pa.large_string()))
-        sets = [x for a, b in row_slices(offsets) for x in shingle_sets(data, offsets[a : b + 1])]
-        shared, size = shared_counts(sets), np.array([len(x) for x in sets], dtype=float)
-        like = (shared > 0) & (shared >= threshold * (size[:, None] + size[None, :] - shared))
-        np.fill_diagonal(like, False)
-        if not rows[0][1]:  # one block's own pairs are counted in its own cell
-            block = np.array([r[2] for r in rows])
-            like &= block[:, None] != block[None, :]
-        return [(r[3], n) for r, n in zip(rows, like.sum(axis=1).tolist()) if n]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            out = []
-            for g, cell, own, block, rep, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g, cell) != key:
-                    out += counted(held) if len(held) > 1 else []
-                    held, key = [], (g, cell)
-                held.append((g, own, block, rep, text))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rep", "n"])
-        if len(held) > 1 and (out := counted(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rep", "n"])
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = LIKE, cell: int = CELL) -> DataFrame:
-    """``id, class_id, n_links`` of every row: the least id with the same shingles, and how many other classes are like it.
-
-    Texts without words are one class, like nothing else.  Rows without an id
-    take the class of their text's other rows, or none.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    prints = materialise(_classes(rows), "classes")
-    reps = materialise(prints.groupBy("class").agg(F.min("id").alias("rep"), F.min("signature").alias("signature")), "reps")
-    width = 2 * BAND_ROWS
-    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(PERMUTATIONS // BAND_ROWS)])
-    buckets = reps.where("rep is not null").select("rep", F.explode(bands).alias("key"))
-    least = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").bitwiseXOR(F.lit(0)).alias("of"), "least")
-    met = buckets.join(least, F.col("key") == F.col("of")).where("rep <> least").select("rep", "least").distinct()
-    groups = materialise(connected_components(met, "rep", "least").select(F.col("node").alias("rep"), F.col("component").alias("g")), "groups")
-    blocks = groups.groupBy("g").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks")).withColumnRenamed("g", "of")
-    placed = groups.join(blocks, F.col("g") == F.col("of")).select("g", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j)).alias("cell"), (F.col("block") == j).alias("own")))
-    # a repeated id is one text of its class here
-    texts = rows.join(placed.select(F.col("rep").alias("wanted")), F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    dealt = placed.join(texts, F.col("rep") == F.col("id")).select("g", F.explode(cells).alias("x"), "block", "rep", "text").select("g", "x.cell", "x.own", "block", "rep", "text")
-    counts = dealt.repartition("g", "cell").sortWithinPartitions("g", "cell", "rep").mapInArrow(_compare(threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links")).withColumnRenamed("rep", "linked")
-    named = reps.join(counts.hint("merge"), F.col("rep") == F.col("linked"), "left").select(F.col("class").alias("named"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(named, F.col("class") == F.col("named"), "left").select("id", "class_id", "n_links")
+    return in_ring(rows, parts, notes).mapInArrow(run, schema)
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness."""
+    """Fingerprints of every document and of its edited text, their likeness, and the class and component of near duplicates that it is in."""
     return fingerprint_with_edits(docs)

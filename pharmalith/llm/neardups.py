@@ -1,15 +1,20 @@
-"""Components of texts whose word shingles are alike: MinHash bands, then exact Jaccard likeness.
+"""Near-duplicate texts: MinHash bands joined in Spark, then exact Jaccard likeness.
 
 A shingle is five words; a text of fewer, but not none, is one shingle.  Texts
-of equal shingle sets are one class.  ``BANDS`` band keys of ``ROWS`` least
-values each are joined in Spark: two classes of likeness 0.8 share a key with
-probability 1 - (1 - 0.8**7)**48 = 0.99999, more alike ones with more.  Meeting
-gives groups; within a group every two texts share a cell, and the cell links
-what is alike, by exact likeness, with no more links than texts.
-
-A group is cut into blocks of about ``BLOCK_TEXTS`` texts or
-``BLOCK_SHINGLES`` shingles, whichever is less, and each text is copied once
-for every block of its group.
+of equal shingle sets are one class, named by the hash of its set.  ``BANDS``
+band keys of ``ROWS`` least values each are joined in Spark: two classes of
+likeness 0.8 share a key with probability 1 - (1 - 0.8**7)**40 = 0.9999, more
+alike ones with more.  Each member of a key's bucket is joined to the bucket's
+least, so a bucket gives no more rows than it has members; a worker first joins
+what meets within its own rows, so a hot bucket sends on a row per batch.
+
+Meeting gives groups.  Within a group every two texts share a cell, and the
+cell links what is alike, by exact likeness, with no more links than texts.  A
+group is cut into blocks of about ``BLOCK_TEXTS`` texts or ``BLOCK_SHINGLES``
+shingles, whichever is less, and each text is copied once for every block of
+its group.  A group of more than ``BANDS`` blocks, which texts may form that
+are hardly alike, is cut by its bands instead: a text is then copied for each
+bucket that it shares with others, and blocks are those of a bucket.
 """
 
 from __future__ import annotations
@@ -21,18 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bytewords import row_slices, text_buffer
+from .bytewords import row_slices, shingle_sets, text_buffer
 from .components import connected_components
-from .minhash import shingle_sets
-from .shared import materialise
+from .shared import discard, materialise, one_of_each
 
 SHINGLE = 5
 #: Likeness from which two texts are near duplicates.
 LIKE = 0.8
-BANDS = 48
+BANDS = 40
 ROWS = 7
 BLOCK_TEXTS = 8192
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 _rng = np.random.default_rng(20250117)
 _A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -54,24 +58,74 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _longs(hashed: np.ndarray) -> pa.Array:
+    return pa.array(hashed.astype(np.uint64).view(np.int64))
+
+
 def _classes(rows: DataFrame) -> DataFrame:
-    """``id, class, size, keys`` of every row; equal shingle sets have equal classes, empty ones no keys."""
+    """``id, h, node, size, keys`` of every row of ``id, h, text``: class, shingles, band keys (none of an empty text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             for first, last in row_slices(offsets):
                 sets = shingle_sets(data, offsets[first : last + 1], SHINGLE)
-                names = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in sets]
+                nodes = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in sets], dtype=np.uint64)
                 full = [x for x in sets if len(x)]
-                keys = pa.array(band_keys(full).view(np.int64).ravel() if full else np.zeros(0, np.int64))
-                ends = np.cumsum([0] + [BANDS * (len(x) > 0) for x in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)],
-                    ["id", "class", "size", "keys"],
-                )
-
-    return rows.mapInArrow(run, "id long, class string, size long, keys array<long>")
+                keys = band_keys(full).astype("<u8") if full else np.zeros((0, BANDS), "<u8")
+                packed, k = [], 0
+                for x in sets:
+                    packed.append(keys[k].tobytes() if len(x) else b"")
+                    k += len(x) > 0
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _longs(nodes), pa.array([len(x) for x in sets], pa.int64()), pa.array(packed, pa.binary())], ["id", "h", "node", "size", "keys"])
+
+    return rows.mapInArrow(run, "id long, h long, node long, size long, keys binary")
+
+
+def _flat_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All band keys of a batch, and the row of each."""
+    packed = column.to_pylist()
+    return np.frombuffer(b"".join(packed), "<u8"), np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
+
+
+def _met_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, node, least`` out of ``node, keys``: one member of each key, and links (``least`` not null) to it of the batch's others."""
+    for batch in batches:
+        key, row = _flat_keys(batch.column(1))
+        node = batch.column(0).to_numpy()[row]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        if not len(key):
+            continue
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
+        key, node = key[~again], node[~again]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        least = node[first][np.cumsum(first) - 1]
+        # a link needs no bucket: its node spreads it
+        yield pa.RecordBatch.from_arrays([_longs(np.where(first, key, node.view(np.uint64))), pa.array(node), pa.array(least, mask=first)], ["key", "node", "least"])
+
+
+def _met_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b`` out of rows sorted by key and node: each member of a key with the key's least, and links as they came."""
+    last_key = last_least = None
+    for batch in batches:
+        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        given = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        link = batch.column(2).fill_null(0).to_numpy()
+        a, b = [node[given]], [link[given]]
+        key, node = key[~given], node[~given]
+        if len(key):
+            first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
+            starts = np.flatnonzero(first)
+            run = np.cumsum(first)
+            least = np.concatenate([[last_least if last_least is not None else 0], node[starts]])[run]
+            a.append(node[node != least])
+            b.append(least[node != least])
+            last_key, last_least = key[-1], least[-1]
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def spanning_links(sets: list[np.ndarray], threshold: float = LIKE) -> list[tuple[int, int]]:
@@ -129,72 +183,112 @@ def spanning_links(sets: list[np.ndarray], threshold: float = LIKE) -> list[tupl
 
 
 def _link(threshold: float):
-    """Links within each cell of sorted rows ``g, cell, rep, text``."""
+    """Links within each cell of sorted rows ``cell, node, text``; a node that comes again is the same text."""
 
-    def linked(reps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(reps[a], reps[b]) for a, b in spanning_links(sets, threshold)]
+    def linked(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(nodes[a], nodes[b]) for a, b in spanning_links(sets, threshold)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reps, sets, key = [], [], None
+        nodes, sets, key = [], [], None
         for batch in batches:
             out = []
-            data, offsets = text_buffer(batch.column(3))
+            data, offsets = text_buffer(batch.column(2))
             for first, last in row_slices(offsets):
                 part = batch.slice(first, last - first)
-                for g, cell, rep, own in zip(*(part.column(k).to_pylist() for k in range(3)), shingle_sets(data, offsets[first : last + 1], SHINGLE)):
-                    if (g, cell) != key:
-                        out += linked(reps, sets)
-                        reps, sets, key = [], [], (g, cell)
-                    reps.append(rep)
-                    sets.append(own)
+                for cell, node, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(data, offsets[first : last + 1], SHINGLE)):
+                    if cell != key:
+                        out += linked(nodes, sets)
+                        nodes, sets, key = [], [], cell
+                    if not nodes or nodes[-1] != node:
+                        nodes.append(node)
+                        sets.append(own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-        if out := linked(reps, sets):
+        if out := linked(nodes, sets):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``id, component`` of every row: the least id reached by texts of likeness ``threshold`` or more.
+def _cells(members: DataFrame, by: list[str], block_texts: int, block_shingles: int, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``cell, node``: a row for every cell of each member of the groups named by ``by``.
 
-    Texts without words are one class, like nothing else.  Rows without an id
-    link nothing; they take the component of their class's other rows, or null.
+    Groups of more than ``most`` blocks are left out and returned apart.
+    """
+    blocks = materialise(members.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / block_texts, F.sum("size") / block_shingles)).cast("long").alias("blocks"), F.count("*").alias("n")).where("n > 1"), "blocks")
+    large = None
+    if most is not None and blocks.where(F.col("blocks") > most).limit(1).count():
+        large, blocks = blocks.where(F.col("blocks") > most), blocks.where(F.col("blocks") <= most)
+    placed = members.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
+    return placed.select("node", *by, F.explode(every).alias("nth")).select(F.xxhash64(*by, "nth").alias("cell"), "node"), large
+
+
+def hashed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, h, text`` of every row; ``h`` is the text's hash, and null texts are empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def links(rows: DataFrame, prints: DataFrame, threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, most_blocks: int = BANDS) -> DataFrame:
+    """``a, b``: verified links between classes, out of ``id, h, text`` rows and their ``_classes``."""
+    met = prints.select("node", "keys").mapInArrow(_met_in_batch, "key long, node long, least long")
+    met = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met_in_bucket, "a long, b long").distinct()
+    groups = connected_components(met, "a", "b").select(F.col("node").alias("member"), F.col("component").alias("g"))
+    # a row of each class stands for it
+    firsts = prints.join(groups, F.col("node") == F.col("member")).groupBy("node", "g").agg(F.min(F.struct("id", "h")).alias("first"), F.min("size").alias("size"))
+    members = materialise(firsts.select("node", "g", "size", "first.id", "first.h"), "members")
+    cells, large = _cells(members, ["g"], block_texts, block_shingles, most_blocks)
+    if large is not None:
+        of_large = prints.join(members.select(F.col("node").alias("member"), F.col("g")).join(large.select("g"), "g", "left_semi"), F.col("node") == F.col("member")).select("node", "size", "keys")
+
+        def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, row = _flat_keys(batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), _longs(key)], ["node", "size", "key"])
+
+        buckets = of_large.mapInArrow(exploded, "node long, size long, key long").distinct()
+        cells = cells.unionAll(_cells(buckets, ["key"], block_texts, block_shingles)[0])
+    wanted = members.select(F.col("node"), F.col("id").alias("first_id"), F.col("h").alias("first_h"))
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).select(F.col("node").alias("of"), "text")
+    dealt = cells.join(texts, F.col("node") == F.col("of")).select("cell", "node", "text")
+    return materialise(dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_link(threshold), "a long, b long"), "links")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = LIKE, **sizes) -> DataFrame:
+    """``id, h, class_id, component_id``, a row for each id and text (``h`` is the text's hash), a written table.
+
+    ``class_id`` is the least id of the same shingles, ``component_id`` the
+    least reached through texts of likeness ``threshold`` or more.  Texts
+    without words are one class, like nothing else; null texts are empty.  Rows
+    without an id link nothing themselves; they have their class's and
+    component's least id, or null where no row of it has one.  Repeated rows
+    are one; texts of one id are told apart; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = hashed_rows(docs, id_col, text_col)
     prints = materialise(_classes(rows), "classes")
-    reps = materialise(prints.groupBy("class").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "reps")
-    buckets = reps.where("rep is not null").select("rep", F.explode("keys").alias("key"))
-    least = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").bitwiseXOR(F.lit(0)).alias("of"), "least")
-    met = buckets.join(least, F.col("key") == F.col("of")).where("rep <> least").select("rep", "least").distinct()
-    groups = connected_components(met, "rep", "least").select(F.col("node").alias("id"), F.col("component").alias("g"))
-    sizes = reps.groupBy("rep").agg(F.max("size").alias("size"))
-    groups = materialise(groups.join(sizes, F.col("id") == F.col("rep")).select("rep", "g", "size"), "groups")
-    blocks = groups.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / block_texts, F.sum("size") / block_shingles)).cast("int").alias("blocks")).withColumnRenamed("g", "of")
-    placed = groups.join(blocks, F.col("g") == F.col("of")).select("g", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
-    # a repeated id is one text here
-    texts = rows.join(placed.select(F.col("rep").alias("wanted")), F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    dealt = placed.join(texts, F.col("rep") == F.col("id")).select("g", F.explode(cells).alias("cell"), "rep", "text")
-    links = materialise(dealt.repartition("g", "cell").sortWithinPartitions("g", "cell", "rep").mapInArrow(_link(threshold), "a long, b long"), "links")
-    named = reps.join(connected_components(links, "a", "b"), F.col("rep") == F.col("node"), "left").select(F.col("class").alias("named"), F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, F.col("class") == F.col("named"), "left").select("id", "component")
+    found = links(rows, prints, threshold, **sizes)
+    comps = connected_components(found, "a", "b").select(F.col("node").alias("linked"), "component")
+    classes = prints.groupBy("node").agg(F.min("id").alias("class_id"))
+    named = materialise(classes.join(comps, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("of"), "class_id", F.coalesce("component", "node").alias("component")), "named")
+    least = named.groupBy(F.col("component").alias("whole")).agg(F.min("class_id").alias("component_id"))
+    ids = named.join(least, F.col("component") == F.col("whole")).select("of", "class_id", "component_id")
+    out = materialise(prints.select("id", "h", "node").distinct().join(ids, F.col("node") == F.col("of")).select("id", "h", "class_id", "component_id"), "near")
+    discard(prints)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of near duplicates the row with the least id, with all its columns.
+    """Of each component of near duplicates the row with the least id, with all its columns, whatever these are named.
 
-    Rows that share that id are one document: one of them stays.  Rows without
-    an id stay, for no link names them.
+    Rows that share that id are one document: one of them stays, the same on
+    every run.  Rows without an id stay, for no link names them.  Null and
+    empty texts are near duplicates of one another; an empty table stays empty.
     """
-    groups = materialise(near_duplicates(docs, id_col, text_col), "groups")
-    kept = groups.where("id = component").select("id")
-    repeated = groups.where("id = component").groupBy("id").count().where("count > 1").limit(1).count() > 0
-    at = docs[id_col].cast("long")
-    out = docs.where(at.isNotNull()).join(kept, at == kept["id"], "left_semi")
-    if repeated:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(at.isNull()))
+    groups = near_duplicates(docs, id_col, text_col)
+    kept = groups.where("id = component_id").groupBy("component_id").agg(F.min("h").alias("kept_h"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return one_of_each(docs, kept.withColumnRenamed("component_id", "kept_id"), id_col, F.xxhash64(text))
 
 
-__all__ = ["keep_one", "near_duplicates", "spanning_links"]
+__all__ = ["hashed_rows", "keep_one", "links", "near_duplicates", "spanning_links"]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bytewords import NOT_SPACE, row_slices, text_buffer, words_of
 from .components import connected_components
-from .shared import materialise
+from .shared import materialise, one_of_each
 
 SHINGLE = 4
 SEED = 42
@@ -260,7 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words have fingerprint zero and link like any other.  Rows
     with a null id link nothing; they take the component of their
-    fingerprint's other rows, or null.  Repeated rows stay repeated.
+    fingerprint's other rows, or null.  Repeated rows stay repeated.  An id is
+    one document: where it has several texts, what is linked to any of them is
+    in one component.  An empty table gives no rows.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     reps = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
@@ -271,19 +273,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of near duplicates the row with the least id, with all its columns.
+    """Of each component of near duplicates the row with the least id, with all its columns, whatever these are named.
 
-    Rows that share that id are one document: one of them stays.  Rows without
-    an id stay, for no link names them.
+    Rows that share that id are one document: one of them stays, the same on
+    every run.  Rows without an id stay, for no link names them.
     """
-    groups = materialise(near_duplicates(docs, id_col, text_col), "groups")
-    kept = groups.where("id = component").select("id")
-    repeated = groups.where("id = component").groupBy("id").count().where("count > 1").limit(1).count() > 0
-    at = docs[id_col].cast("long")
-    out = docs.where(at.isNotNull()).join(kept, at == kept["id"], "left_semi")
-    if repeated:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(at.isNull()))
+    groups = near_duplicates(docs, id_col, text_col)
+    return one_of_each(docs, materialise(groups.where("id = component").select(F.col("id").alias("kept_id")).distinct(), "kept"), id_col)
 
 
 def op1(spark, docs: DataFrame) -> DataFrame:

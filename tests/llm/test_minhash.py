@@ -50,44 +50,27 @@ def test_equal_texts_repeated_ids_and_null_ids(spark):
     assert len(got) == 4 and len({r.fingerprint for r in got}) == 2
 
 
-def exact_links(rows):
-    """class (least id of equal shingle sets) and number of like classes, by all pairs."""
-    sets, classes = {}, {}
-    for doc_id, text in sorted(rows):
-        sets.setdefault(frozenset(shingles(text or "")), doc_id)
-    links = {c: 0 for c in sets.values()}
-    every = list(sets.items())
-    for k, (a, i) in enumerate(every):
-        for b, j in every[k + 1 :]:
-            if a and b and len(a & b) >= 0.8 * len(a | b):
-                links[i] += 1
-                links[j] += 1
-    for doc_id, text in rows:
-        c = sets[frozenset(shingles(text or ""))]
-        classes[doc_id] = (c, links[c])
-    return classes
-
-
-def near_rows(spark, rows, **k):
-    return {r.id: (r.class_id, r.n_links) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **k).collect()}
-
-
-def test_near_duplicates_on_the_whole_table(spark, table):
-    rows = [(r.doc_id, r.text) for r in table("documents").collect()]
-    assert near_rows(spark, rows) == exact_links(rows)
-
-
-def test_a_dense_group_in_several_cells(spark):
-    import random
-
-    rng = random.Random(8)
-    base, rows = [f"w{k}" for k in range(200)], []
-    for k in range(60):
-        words = list(base)
-        for _ in range(rng.randrange(4)):
-            words[rng.randrange(200)] = f"x{rng.randrange(1000)}"
-        rows.append((k, " ".join(words)))
-    rows += [(100, None), (101, ""), (102, "lone text"), (103, "lone text")]
-    want = exact_links(rows)
-    assert near_rows(spark, rows) == near_rows(spark, rows, cell=7) == want and max(n for _, n in want.values()) > 5
-    assert near_rows(spark, []) == {}
+def test_null_and_repeated_ids_in_many_shards(spark):
+    """A third of the rows without an id and a third with one id: shards cut them by their texts, and the ring stays whole."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(f"w{k}x{j}" for j in range(8))) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.fingerprint_with_edits(df, parts=12).collect()
+    assert len(got) == 90 and {r.n_chars for r in got} <= {len(t) for _, t in rows}
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    ring = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = {hashlib.sha256((t[: len(t) - len(t) // 3] + ring[(k + 1) % 90][1][: len(t) // 3]).encode()).hexdigest() for k, (_, t) in enumerate(ring)}
+    assert {r.edited_sha256 for r in got} == want
+    placed = minhash.in_ring(minhash.hashed_rows(df, "doc_id", "text"), 12)
+    sizes = [r["count"] for r in placed.where("guest = 0").groupBy("shard").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 25
+
+
+def test_classes_and_components(spark):
+    """Classes and components as by all pairs; texts of one id are told apart."""
+    base = [f"w{k}" for k in range(100)]
+    near = [*base[:50], "x", *base[51:]]
+    rows = [(4, " ".join(base)), (9, " ".join(near)), (2, "quite other words are in this text"), (9, "and this one stands alone here too"), (5, " ".join(base).upper()), (8, None), (3, ""), (None, " ".join(near))]
+    got = {(r.doc_id, r.n_chars): (r.class_id, r.component_id) for r in minhash.op5(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = {i: (len(t or ""), k) for k, (i, t) in enumerate(rows)}
+    assert got[4, of[4][0]] == got[5, of[4][0]] == (4, 4) and got[9, len(rows[1][1])] == got[None, len(rows[1][1])] == (9, 4)
+    assert got[2, of[2][0]] == (2, 2) and got[9, len(rows[3][1])] == (9, 9) and got[8, 0] == got[3, 0] == (3, 3)

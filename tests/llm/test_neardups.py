@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -47,13 +48,66 @@ def made(n=240, seed=4):
     return docs
 
 
-@pytest.mark.parametrize("block", [neardups.BLOCK_TEXTS, 3])
-def test_components_are_those_of_brute_force(spark, block):
+@pytest.mark.parametrize("sizes", [{}, {"block_texts": 3}, {"block_texts": 3, "most_blocks": 1}])
+def test_components_are_those_of_brute_force(spark, sizes):
+    """In one cell for each group, in several, and in cells of the bands' buckets."""
     docs = made()
-    got = {r.id: r.component for r in neardups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block_texts=block).collect()}
+    got = {r.id: r.component_id for r in neardups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **sizes).collect()}
     assert got == brute(docs)
 
 
+def test_classes_and_components_of_the_table(spark, table):
+    docs = [(r.doc_id, r.text) for r in table("documents").collect()]
+    got = neardups.near_duplicates(table("documents")).collect()
+    assert {r.id: r.component_id for r in got} == brute(docs)
+    first = {}
+    for d, t in sorted(docs):
+        first.setdefault(shingles(t), d)
+    assert {r.id: r.class_id for r in got} == {d: first[shingles(t)] for d, t in docs}
+
+
+def test_a_dense_group_of_chains(spark):
+    """400 texts one word apart from the one before, far apart at the ends; and the same with small blocks."""
+    rng, words, docs = random.Random(3), [f"w{k}" for k in range(200)], []
+    for k in range(400):
+        words[rng.randrange(200)] = f"y{k}"
+        docs.append((k, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for sizes in ({}, {"block_texts": 50, "most_blocks": 3}):
+        assert {r.component_id for r in neardups.near_duplicates(df, **sizes).collect()} == {0}
+
+
+def test_links_of_bands_span_each_bucket():
+    """Joined within batches and then in buckets, members of one key end up in one component, whatever the batches."""
+    rng = np.random.default_rng(1)
+    nodes, keys = np.arange(300), rng.integers(0, 40, (300, 3)).astype("<u8")
+    batches = [pa.RecordBatch.from_arrays([pa.array(nodes[a:b]), pa.array([k.tobytes() for k in keys[a:b]], pa.binary())], ["node", "keys"]) for a, b in ((0, 100), (100, 110), (110, 300))]
+    rows = [r for b in neardups._met_in_batch(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sum(r[2] is None for r in rows) <= 3 * 40
+    rows.sort(key=lambda r: r[:2])
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 7])], ["key", "node", "least"]) for a in range(0, len(rows), 7)]
+    root = list(range(300))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def joined(pairs):
+        root[:] = range(300)
+        for x, y in pairs:
+            x, y = top(x), top(y)
+            root[max(x, y)] = min(x, y)
+        return [top(x) for x in range(300)]
+
+    got = joined([r for b in neardups._met_in_bucket(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns))])
+    of_key = {}
+    for n, ks in zip(nodes.tolist(), keys.tolist()):
+        for k in ks:
+            of_key.setdefault(k, []).append(n)
+    assert got == joined([(m[0], x) for m in of_key.values() for x in m[1:]])
+
+
 def test_pipeline_stage_leaves_no_two_alike(spark, table):
     """The stage on the table and on copies with every 45th word changed, about 0.8 alike."""
     docs = [(r.doc_id, r.text) for r in table("documents").collect()] + made(90)

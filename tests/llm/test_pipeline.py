@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from pharmalith.llm import decontaminate, simhash
+from pharmalith.llm import decontaminate, neardups, simhash
 
 from .conftest import SF
 
@@ -36,7 +36,7 @@ def test_each_filter_keeps_rows_as_they_were(stages):
 
 def test_one_of_each_group_stays(spark, stages):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    groups = simhash.op1(spark, spark.createDataFrame(stages["toxicity"], schema)).collect()
+    groups = neardups.near_duplicates(spark.createDataFrame(stages["toxicity"], schema)).collect()
     assert sorted(r.doc_id for r in stages["simhash_dedup"]) == sorted({r.component_id for r in groups})
 
 
@@ -57,7 +57,11 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages["token_binary"]))
 
 
-def test_repeated_ids_leave_one_row(spark):
-    docs = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, "a b c d e", "y"), (None, "a b c d e", "z")], "doc_id long, text string, component string")
-    assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [0, 1]
-    assert simhash.keep_one(docs.limit(0)).collect() == []
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, neardups.keep_one])
+def test_repeated_ids_leave_one_row(spark, keep_one):
+    rows = [(1, "a b c d e", "x"), (1, "a b c d e", "w"), (2, "a b c d e", "y"), (None, "a b c d e", "z"), (5, "p q r s t u", "k"), (5, "p q r s t u", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    kept = keep_one(docs).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 5]
+    assert sorted(map(str, kept)) == sorted(map(str, keep_one(docs.repartition(4)).collect()))
+    assert keep_one(docs.limit(0)).collect() == []
