@@ -5,13 +5,16 @@ in the public seekable format: a skippable frame with each frame's compressed
 and decompressed size and the low 32 bits of the XXH64 of its contents, then a
 footer.  The decompressed stream is the documents' ids one after another,
 little-endian, two bytes wide where the vocabulary allows it and four else.
-The frame before the seek table is the index: a header, then every document's
-id and number of tokens.  A reader takes the footer, the table and the index,
-and decompresses the frames that hold the documents it wants, each checked
-against its checksum.
+After them come index frames, with the ids and numbers of tokens of
+``INDEX_ROWS`` documents each, and a directory: where each index frame's
+documents begin.  A reader takes the footer, the table and the directory, and
+decompresses the index frame and the frames that hold the documents it wants,
+each checked against its checksum.
 
 Documents are dealt to shards by ranges of their id, in ascending order within
-and across shards; rows without an id come first.  A shard is written to a
+and across shards; rows without an id come first, and rows of one id are in the
+order of their texts' hashes, then texts, so that a hot id is cut and reruns
+agree.  A shard is written to a
 name of its own attempt and then renamed, so a lost executor leaves no half
 shard behind.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytewords import row_slices, text_buffer
-from .shared import fresh_path, open_fs, write_whole
+from .shared import fresh_path, open_fs, shuffles_dropped, write_whole
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
-INDEX_MAGIC = b"PMTKIDX1"
+INDEX_MAGIC = b"PMTKIDX2"
+#: Documents in an index frame.
+INDEX_ROWS = 4096
 
 FRAME_BYTES = 256 << 10
 LEVEL = 1
@@ -214,7 +220,13 @@ class ShardWriter:
             yield self._frame(bytes(self.open))
         known = np.array([x is not None for x in self.ids], dtype=np.uint8)
         ids = np.array([x or 0 for x in self.ids], dtype="<i8")
-        yield self._frame(INDEX_MAGIC + struct.pack("<BQ", self.dtype.itemsize, len(ids)) + ids.tobytes() + known.tobytes() + np.array(self.lengths, dtype="<u8").tobytes())
+        lengths = np.array(self.lengths, dtype="<u8")
+        firsts = np.arange(0, len(ids), INDEX_ROWS)
+        for k in firsts.tolist():
+            part = slice(k, k + INDEX_ROWS)
+            yield self._frame(ids[part].tobytes() + known[part].tobytes() + lengths[part].tobytes())
+        starts = (np.cumsum(lengths) - lengths)[firsts]
+        yield self._frame(INDEX_MAGIC + struct.pack("<BQQQ", self.dtype.itemsize, len(ids), int(lengths.sum()), INDEX_ROWS) + ids[firsts].tobytes() + known[firsts].tobytes() + starts.astype("<u8").tobytes())
         body = b"".join(struct.pack("<III", *x) for x in self.table) + struct.pack("<IBI", len(self.table), 0x80, SEEKABLE_MAGIC)
         yield struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
@@ -234,29 +246,56 @@ class ShardReader:
         self.packed_at = np.concatenate([[0], np.cumsum(self.table[:, 0])])
         self.plain_at = np.concatenate([[0], np.cumsum(self.table[:-1, 1])])
         self.unpack = zstandard.ZstdDecompressor()
-        self.held: tuple[int, bytes] = (-1, b"")
-        index = self.frame(frames - 1)
-        if index[:8] != INDEX_MAGIC:
+        self.held: OrderedDict[int, bytes] = OrderedDict()
+        directory = self.frame(frames - 1)
+        if directory[:8] != INDEX_MAGIC:
             raise ValueError(f"{uri} has no index")
-        width, n = struct.unpack("<BQ", index[8:17])
+        width, self.n_docs, self.n_ids, self.rows = struct.unpack("<BQQQ", directory[8:33])
         self.dtype = np.dtype(f"<u{width}")
-        self.doc_ids = np.frombuffer(index, "<i8", n, 17)
-        self.known = np.frombuffer(index, np.uint8, n, 17 + 8 * n).astype(bool)
-        self.n_tokens = np.frombuffer(index, "<u8", n, 17 + 9 * n).astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.n_tokens)])
+        n = -(-self.n_docs // self.rows)
+        self.first_ids = np.frombuffer(directory, "<i8", n, 33)
+        self.first_known = np.frombuffer(directory, np.uint8, n, 33 + 8 * n).astype(bool)
+        self.first_at = np.frombuffer(directory, "<u8", n, 33 + 9 * n).astype(np.int64)
+        self.index_from = frames - 1 - n
+
+    def part(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, whether they are known, and starts (one more) of the k-th index frame's documents."""
+        raw = self.frame(self.index_from + k)
+        n = len(raw) // 17
+        lengths = np.frombuffer(raw, "<u8", n, 9 * n).astype(np.int64)
+        return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool), self.first_at[k] + np.concatenate([[0], np.cumsum(lengths)])
+
+    def find(self, doc_id: int | None) -> list[int]:
+        """The rows of a document's id, in the order of the shard."""
+        low = np.searchsorted(np.where(self.first_known, self.first_ids, np.iinfo(np.int64).min), doc_id if doc_id is not None else np.iinfo(np.int64).min, side="left")
+        out: list[int] = []
+        for k in range(max(int(low) - 1, 0), len(self.first_ids)):
+            if self.first_known[k] and (doc_id is None or self.first_ids[k] > doc_id):
+                break
+            ids, known, _ = self.part(k)
+            out += (np.flatnonzero(known & (ids == doc_id) if doc_id is not None else ~known) + k * self.rows).tolist()
+        return out
 
     def frame(self, k: int) -> bytes:
-        if self.held[0] != k:
+        if k not in self.held:
             packed = self.file.read_at(int(self.table[k, 0]), int(self.packed_at[k]))
             data = self.unpack.decompress(packed, max_output_size=int(self.table[k, 1]))
             if len(data) != self.table[k, 1] or xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != self.table[k, 2]:
                 raise ValueError(f"frame {k} fails its checksum")
-            self.held = (k, data)
-        return self.held[1]
+            self.held[k] = data
+            if len(self.held) > 2:  # an index frame and one of ids
+                self.held.popitem(last=False)
+        self.held.move_to_end(k)
+        return self.held[k]
 
     def ids(self, row: int) -> np.ndarray:
         """The ids of the row-th document, with the end id."""
-        first, last = (int(x) * self.dtype.itemsize for x in self.starts[row : row + 2])
+        starts = self.part(row // self.rows)[2]
+        return self.between(*starts[row % self.rows : row % self.rows + 2].tolist())
+
+    def between(self, start: int, stop: int) -> np.ndarray:
+        """The ids from one place of the shard to another."""
+        first, last = start * self.dtype.itemsize, stop * self.dtype.itemsize
         if first == last:
             return np.zeros(0, self.dtype)
         k = int(np.searchsorted(self.plain_at, first, side="right")) - 1
@@ -273,8 +312,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col: str
     """Encode every text and write the shards; a row per shard of the files written.
 
     Columns: shard (ascending with document ids), uri, n_docs, n_tokens.  Null
-    and empty texts get the end id alone.  Repeated ids are written as often as
-    they come.  The tokenizer file's place is a parameter and must be readable
+    and empty texts get the end id alone.  Rows of one id are all written, in
+    the order of their texts' hashes and texts; rows that are equal may change
+    places, which changes nothing.  An empty table gives no shards.  The tokenizer file's place is a parameter and must be readable
     at that path on every worker.
     """
 
@@ -307,7 +347,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col: str
         write_whole(uri, all_chunks())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([uri]), pa.array([len(writer.ids)], pa.int64()), pa.array([sum(writer.lengths)], pa.int64())], ["shard", "uri", "n_docs", "n_tokens"])
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     return dealt.mapInArrow(run, "shard long, uri string, n_docs long, n_tokens long")
 
 
@@ -322,12 +363,11 @@ def read_tokens(spark: SparkSession, shards: Sequence[tuple[str, int]]) -> DataF
         for batch in batches:
             for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = ShardReader(uri)
-                for low in range(0, len(shard.doc_ids), 4096):
-                    rows = range(low, min(low + 4096, len(shard.doc_ids)))
-                    part = slice(low, rows.stop)
-                    crc = [zlib.crc32(shard.ids(k).astype("<u4").tobytes()) for k in rows]
+                for k in range(len(shard.first_ids)):
+                    ids, known, starts = shard.part(k)
+                    crc = [zlib.crc32(shard.between(a, b).astype("<u4").tobytes()) for a, b in zip(starts.tolist(), starts[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard.doc_ids[part], pa.int64(), mask=~shard.known[part]), pa.array(shard.starts[low : rows.stop] + before, pa.int64()), pa.array(shard.n_tokens[part], pa.int64()), pa.array(crc, pa.int64())],
+                        [pa.array(ids, pa.int64(), mask=~known), pa.array(starts[:-1] + before, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
@@ -340,7 +380,8 @@ def tokenize_and_read_back(docs: DataFrame, tokenizer_path: str, **options) -> D
     """Write all of ``docs`` to shards in the shared folder, and return what reading them gives."""
     spark = docs.sparkSession
     out_uri = fresh_path(spark, "tokens")
-    written = write_tokens(docs, tokenizer_path, out_uri, **options).collect()  # a row per task
+    with shuffles_dropped(spark):
+        written = write_tokens(docs, tokenizer_path, out_uri, **options).collect()  # a row per task
     before, shards = 0, []
     for row in sorted(written, key=lambda r: r.shard):
         shards.append((row.uri, before))

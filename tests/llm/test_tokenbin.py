@@ -70,7 +70,7 @@ def test_readers_take_one_document_and_notice_damage(spark, table, tmp_path):
     out = fresh_path(spark, "tokens")
     shard = tokenbin.write_tokens(table("documents"), PATH, out, frame_bytes=2000).orderBy("shard").first()
     reader = tokenbin.ShardReader(shard.uri)
-    assert len(reader.doc_ids) == shard.n_docs and reader.starts[-1] == shard.n_tokens and len(reader.table) > 10
+    assert (reader.n_docs, reader.n_ids) == (shard.n_docs, shard.n_tokens) and len(reader.table) > 10
     opened = []
     whole = reader.unpack
 
@@ -80,8 +80,8 @@ def test_readers_take_one_document_and_notice_damage(spark, table, tmp_path):
             return whole.decompress(packed, **k)
 
     reader.unpack = Counting()
-    row = len(reader.doc_ids) // 2
-    assert len(reader.ids(row)) == reader.n_tokens[row] and len(opened) <= reader.n_tokens[row] * 2 // 2000 + 2
+    row = reader.n_docs // 2
+    assert len(opened) == 0 and len(reader.ids(row)) and len(opened) <= len(reader.ids(row)) * 2 // 2000 + 3
     raw = bytearray(open(shard.uri.removeprefix("file://"), "rb").read())
     at = int(reader.packed_at[2]) + int(reader.table[2, 0]) // 2
     raw[at] ^= 255
@@ -99,3 +99,25 @@ def test_frames_are_public_zstandard(spark, table):
     raw = open(shard.uri.removeprefix("file://"), "rb").read()
     plain = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
     assert len(plain) >= shard.n_tokens * 2
+
+
+def test_index_frames_and_finding(tmp_path, monkeypatch):
+    """Documents by id through the directory; only one index frame is opened for a row."""
+    monkeypatch.setattr(tokenbin, "INDEX_ROWS", 5)
+    writer = tokenbin.ShardWriter(np.dtype("<u2"), 16)
+    docs = [(None, [9]), (None, [8, 8]), *[(k // 2 * 3, list(range(k + 1))) for k in range(23)]]
+    raw = b"".join(x for d, ids in docs for x in writer.add(d, np.array(ids, "<u2").tobytes())) + b"".join(writer.finish())
+    (tmp_path / "s").write_bytes(raw)
+    reader = tokenbin.ShardReader(f"file://{tmp_path}/s")
+    assert [reader.ids(k).tolist() for k in range(len(docs))] == [ids for _, ids in docs] and reader.n_docs == len(docs)
+    for doc_id in {d for d, _ in docs} | {1, -5, 999}:
+        assert reader.find(doc_id) == [k for k, (d, _) in enumerate(docs) if d == doc_id]
+    assert len(reader.first_ids) == 5
+
+
+def test_rows_of_one_id_keep_their_places(spark):
+    """Starts of rows that share an id, or have none, are the same however the rows are stored."""
+    rows = [(k % 3 or None, f"text number {k} " + "and more " * (k % 5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(str, tokenbin.op2(spark, x).collect())) for x in (df, df.repartition(7), df.orderBy("text"))]
+    assert got[0] == got[1] == got[2]
