@@ -6,7 +6,9 @@ the response in ``WARC-Concurrent-To``.  Every record is a gzip member of its
 own.  Assembly joins the records through those identifiers and emits one
 nested row per capture.
 
-Archives are written to a name of the attempt's own and renamed when whole.
+Archives are named by the task and a number, are written to a name of the
+attempt's own and renamed when whole; a task goes on to the next archive when
+one has ``ARCHIVE_BYTES``.
 """
 
 from __future__ import annotations
@@ -20,18 +22,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import fresh_path, open_fs, write_whole
+from .shared import fresh_path, open_fs, shuffles_dropped, write_whole
 
 #: Payloads of fewer bytes are always written whole.
 REVISIT_FROM = 100
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The date of captures without one.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
+#: Size from which a task begins another archive.
+ARCHIVE_BYTES = 1 << 30
 READ_BYTES = 1 << 20
 
 
-def _record(kind: str, record_id: str, fields: Sequence[tuple[str, str]], content_type: str, block: bytes) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE), *fields, ("Content-Type", content_type), ("Content-Length", str(len(block)))]
+def _record(kind: str, record_id: str, fields: Sequence[tuple[str, str]], content_type: str, block: bytes, date: str | None = None) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date or DATE), *fields, ("Content-Type", content_type), ("Content-Length", str(len(block)))]
     lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head)  # a line break would end the field
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return pack.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -42,66 +47,72 @@ def capture_urn(page_id: int | None, digest: str) -> str:
     return f"urn:x-capture:{'none' if page_id is None else page_id}:{digest[:16]}"
 
 
-def _capture(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> Iterator[bytes]:
+def _capture(page_id: int | None, url: str | None, payload: bytes, digest: str, date: str | None, first: int | None) -> Iterator[bytes]:
     """The three records of a capture; ``first`` is the page whose response a revisit refers to."""
     target, urn = url or "", capture_urn(page_id, digest)
     host = target.split("://", 1)[-1].split("/", 1)[0]
     uri = [("WARC-Target-URI", target)] if target else []
     joined = ("WARC-Concurrent-To", f"<{urn}>")
-    yield _record("request", f"{urn}:request", [*uri, joined], "application/http; msgtype=request", f"GET {target or '/'} HTTP/1.1\r\nHost: {' '.join(host.split())}\r\n\r\n".encode())
+    yield _record("request", f"{urn}:request", [*uri, joined], "application/http; msgtype=request", f"GET {target or '/'} HTTP/1.1\r\nHost: {' '.join(host.split())}\r\n\r\n".encode(), date)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     summed = ("WARC-Payload-Digest", f"sha256:{digest}")
     if first is None:
-        yield _record("response", urn, [*uri, summed], "application/http; msgtype=response", head + payload)
+        yield _record("response", urn, [*uri, summed], "application/http; msgtype=response", head + payload, date)
     else:
-        yield _record("revisit", urn, [*uri, summed, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{capture_urn(first, digest)}>")], "application/http; msgtype=response", head)
+        yield _record("revisit", urn, [*uri, summed, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{capture_urn(first, digest)}>")], "application/http; msgtype=response", head, date)
     about = f"page-id: {'' if page_id is None else page_id}\r\npayload-bytes: {len(payload)}\r\n".encode()
-    yield _record("metadata", f"{urn}:metadata", [*uri, joined], "application/warc-fields", about)
+    yield _record("metadata", f"{urn}:metadata", [*uri, joined], "application/warc-fields", about, date)
 
 
-def write_archives(pages: DataFrame, out_uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[str]:
-    """Write every row of ``pages`` as a capture; the archives' uris, one per task that had rows.
+def write_archives(pages: DataFrame, out_uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> list[str]:
+    """Write every row of ``pages`` as a capture; the archives' uris, those of each task that had rows.
 
     Null html is an empty payload.  Of rows with equal payloads of at least
     ``REVISIT_FROM`` bytes those with the least id are responses, others
     revisits of it; rows without an id are responses where no row of that
-    payload has one.  Repeated rows are written as often as they come.
+    payload has one.  Repeated rows are written as often as they come.  A
+    payload is held whole in memory, a row at a time.  ``date_col`` has
+    timestamps, which are written in UTC; without it, or where it is null, the
+    date is ``DATE``.  An empty table gives no archives.  Other columns are left
+    out, whatever their names.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
+    date = F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"), date.alias("date"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("large", F.octet_length("payload") >= REVISIT_FROM)
     # small payloads get keys of their own, so that they don't meet in one task
     own = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
     firsts = rows.where("large").groupBy("digest").agg(F.min("id").alias("first")).select(F.concat(F.lit("="), "digest").alias("of"), "first")
     keyed = rows.withColumn("key", F.when(F.col("large"), F.concat(F.lit("="), "digest")).otherwise(own))
-    # both sides are dealt by an expression for the join alone, which lets AQE split a hot payload
-    joined = keyed.join(firsts, F.col("key") == F.col("of"), "left").select("id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri = f"{out_uri}/captures-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz"
-        n = 0
-
-        def records() -> Iterator[bytes]:
-            nonlocal n
+        def captures() -> Iterator[bytes]:
             for batch in batches:
                 for low in range(0, batch.num_rows, 256):
-                    part = batch.slice(low, 256)
-                    for row in zip(*(c.to_pylist() for c in part.columns)):
-                        n += 1
+                    for row in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns)):
                         yield b"".join(_capture(*row))
 
-        first = next(chunks := records(), None)
-        if first is None:
-            return
+        todo = captures()
+        nth, ahead = 0, next(todo, None)
+        while ahead is not None:
+            name, n = f"captures-{TaskContext.get().partitionId():06d}-{nth:03d}.warc.gz", 0
 
-        def whole() -> Iterator[bytes]:
-            yield _record("warcinfo", f"urn:uuid:{uuid.uuid4()}", [], "application/warc-fields", b"format: WARC File Format 1.1\r\n")
-            yield first
-            yield from chunks
+            def archive() -> Iterator[bytes]:
+                nonlocal ahead, n
+                size = 0
+                about = f"format: WARC File Format 1.1\r\nfilename: {name}\r\n".encode()
+                yield _record("warcinfo", f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{out_uri}/{name}')}", [("WARC-Filename", name)], "application/warc-fields", about)
+                while ahead is not None and size < archive_bytes:
+                    yield ahead
+                    n, size, ahead = n + 1, size + len(ahead), next(todo, None)
 
-        write_whole(uri, whole())
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], ["uri", "n"])
+            write_whole(f"{out_uri}/{name}", archive())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{out_uri}/{name}"]), pa.array([n], pa.int64())], ["uri", "n"])
+            nth += 1
 
-    return sorted(r.uri for r in joined.mapInArrow(run, "uri string, n long").collect())  # a row per task
+    with shuffles_dropped(pages.sparkSession):
+        # both sides are dealt by an expression for the join alone, which lets AQE split a hot payload
+        joined = keyed.join(firsts, F.col("key") == F.col("of"), "left").select("id", "url", "payload", "digest", "date", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+        return sorted(r.uri for r in joined.mapInArrow(run, "uri string, n long").collect())  # a row per archive
 
 
 def _members(uri: str) -> Iterator[bytes]:
@@ -185,6 +196,8 @@ def assemble(records: DataFrame) -> DataFrame:
     Request and metadata records are joined by the response's identifier; a
     capture without one has null there, and of several the first by record id
     counts.  Requests and metadata that name no response are left out.
+    Responses that share an identifier, as equal rows' do, stay as many rows.
+    No records give no rows.  A payload is as long as its column's value may be.
     """
     def part(kind: str, *columns: str) -> DataFrame:
         own = F.struct("record_id", *columns)

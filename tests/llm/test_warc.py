@@ -67,3 +67,15 @@ def test_damage_is_noticed():
         warc.parse_record(b"HTTP/1.1 200 OK\r\n\r\n")
     with pytest.raises(ValueError):
         warc.parse_record(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort")
+
+
+def test_archives_roll_over_and_carry_dates(spark):
+    import datetime
+
+    rows = [(k, f"http://a/{k}", f"page {k} " * 40, datetime.datetime(2020, 5, 1 + k % 9, 3, 4, 5) if k % 4 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, seen timestamp").coalesce(1)
+    out = fresh_path(spark, "warc")
+    uris = warc.write_archives(df, out, date_col="seen", archive_bytes=4000)
+    assert len(uris) > 5 and uris == warc.write_archives(df, out, date_col="seen", archive_bytes=4000)  # a task that runs again replaces its archives
+    got = {r.response.target_uri: r.response.date for r in warc.assemble(warc.read_archives(spark, uris)).collect()}
+    assert got == {u: d.strftime("%Y-%m-%dT%H:%M:%SZ") if d else warc.DATE for _, u, _, d in rows}
