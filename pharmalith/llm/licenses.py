@@ -12,7 +12,7 @@ meet a template are then compared exactly: the share of the template's
 shingles that the window's part of the document has.  Templates of different
 licenses may share most of their shingles; a match must also have some of the
 shingles that tell it from each such rival (name and version), and yields to a
-rival that matches the same words better.
+rival that matches the same words better, or of which it is a part.
 
 A template of fewer words than a shingle is looked for word for word, ending
 where a sentence, clause or line ends.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SHINGLE = 5
 BANDS = 28
 #: Share of a template's shingles that a match has at least.
 CONTAINED = 0.8
+#: Share of its shingles in a template of another license from which it is a part of that one.
+PART = 0.95
 #: Share of its shingles in a template of another license from which that one is a template's rival.
 RIVAL = 0.5
 
@@ -51,6 +54,7 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -127,8 +131,11 @@ class Index:
                 self.maybe[length].append(table)
         #: template -> {rival: the template's shingles that the rival lacks}
         self.telling: list[dict[int, np.ndarray]] = []
+        #: template -> templates of other licenses that it is a part of
+        self.whole: list[set[int]] = []
         for k, mine in enumerate(self.shingles):
             shared = {r: np.isin(mine, other) for r, other in enumerate(self.shingles) if self.names[r] != self.names[k]}
+            self.whole.append({r for r, x in shared.items() if len(mine) and x.mean() >= PART and len(self.shingles[r]) > len(mine)})
             self.telling.append({r: mine[~x] for r, x in shared.items() if len(mine) and RIVAL <= x.mean() < 1})
 
     def search(self, shingles: np.ndarray, firsts: np.ndarray, contained: float = CONTAINED) -> dict[tuple[int, str], list]:
@@ -180,6 +187,8 @@ class Index:
             for k, share, first, last, told in found:
                 if any(r in told and told[r] < 0.5 and better > share and a <= last and first <= b for r, better, a, b, _ in found):
                     continue  # a rival has these words
+                if any(r in self.whole[k] and a <= last and first <= b for r, _, a, b, _ in found):
+                    continue  # the words are part of a longer license
                 seen = out.setdefault((row, self.names[k]), [share, first, last])
                 seen[0], seen[1], seen[2] = max(seen[0], share), min(seen[1], first), max(seen[2], last)
         return out
@@ -208,12 +217,19 @@ class Index:
         return out
 
 
+def templates_from(folder: str) -> list[tuple[str, str]]:
+    """Templates out of a local folder of license texts, each named by its file without ``.txt``: whole texts beside the notices of ``TEMPLATES``."""
+    return [(path.name.removesuffix(".txt"), path.read_text(encoding="utf-8")) for path in sorted(Path(folder).glob("*.txt"))]
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
     """``id, license, containment, first_word, last_word``: a row per document and license found in it.
 
     The words span all places where the document has that license.  Documents
     without any give no row; null texts are empty; repeated rows are scanned
-    each for itself.  Templates without words match nothing.
+    each for itself, whole texts however long they are; other columns are left
+    out, whatever their names; an empty table gives no rows.  Templates without
+    words match nothing.
     """
     index = Index.build(TEMPLATES if templates is None else templates, size)
 

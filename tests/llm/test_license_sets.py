@@ -46,3 +46,13 @@ def test_license_lines_of_documents(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     want = {(r.doc_id, name) for r in rows.collect() for line, name in LINES.items() if line in (r.text or "").split("\n")}
     assert {(r.doc_id, r.license) for r in licenses.op10(spark, rows).collect()} == want
+
+
+def test_a_license_that_is_part_of_another(spark, tmp_path):
+    two, three = (max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("BSD-2-Clause", "BSD-3-Clause"))
+    numbered = three.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither")
+    assert found(spark, [f"x y z. {t} p q r" for t in (two, three, numbered, f"{two} {'words between ' * 200} {three}")]) == [{"BSD-2-Clause"}, {"BSD-3-Clause"}, {"BSD-3-Clause"}, {"BSD-2-Clause", "BSD-3-Clause"}]
+    whole = " ".join(f"clause{k} of the long license text" for k in range(900))
+    (tmp_path / "Long-1.0.txt").write_text(whole)
+    rows = spark.createDataFrame([(1, f"before it {whole} and after"), (2, whole[:6000])], "doc_id long, text string")
+    assert [(r.id, r.license) for r in licenses.scan(rows, licenses.templates_from(tmp_path)).collect()] == [(1, "Long-1.0")]
