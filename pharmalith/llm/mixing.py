@@ -33,8 +33,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: Times that a source, and so a row, may be taken at most.
 MOST = 2.0
-LEAF = 16384
-FAN_IN = 1024
+LEAF = 2048
+FAN_IN = 256
 SEED = 42
 #: Fractions nearer than this to 0 or 1 are integral.
 NEAR = 1e-9

@@ -230,14 +230,12 @@ def hashed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def links(rows: DataFrame, prints: DataFrame, threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, most_blocks: int = BANDS) -> DataFrame:
-    """``a, b``: verified links between classes, out of ``id, h, text`` rows and their ``_classes``."""
+def links(rows: DataFrame, prints: DataFrame, classes: DataFrame, threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, most_blocks: int = BANDS) -> DataFrame:
+    """``a, b``: verified links between classes, out of ``id, h, text`` rows, their ``_classes``, and a row per class (``node, first, size``)."""
     met = prints.select("node", "keys").mapInArrow(_met_in_batch, "key long, node long, least long")
     met = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met_in_bucket, "a long, b long").distinct()
     groups = connected_components(met, "a", "b").select(F.col("node").alias("member"), F.col("component").alias("g"))
-    # a row of each class stands for it
-    firsts = prints.join(groups, F.col("node") == F.col("member")).groupBy("node", "g").agg(F.min(F.struct("id", "h")).alias("first"), F.min("size").alias("size"))
-    members = materialise(firsts.select("node", "g", "size", "first.id", "first.h"), "members")
+    members = materialise(classes.join(groups, F.col("node") == F.col("member")).select("node", "g", "size", "first.id", "first.h"), "members")
     cells, large = _cells(members, ["g"], block_texts, block_shingles, most_blocks)
     if large is not None:
         of_large = prints.join(members.select(F.col("node").alias("member"), F.col("g")).join(large.select("g"), "g", "left_semi"), F.col("node") == F.col("member")).select("node", "size", "keys")
@@ -267,9 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = hashed_rows(docs, id_col, text_col)
     prints = materialise(_classes(rows), "classes")
-    found = links(rows, prints, threshold, **sizes)
+    # a row of each class stands for it
+    classes = materialise(prints.groupBy("node").agg(F.min("id").alias("class_id"), F.min(F.struct("id", "h")).alias("first"), F.min("size").alias("size")), "reps")
+    found = links(rows, prints, classes, threshold, **sizes)
     comps = connected_components(found, "a", "b").select(F.col("node").alias("linked"), "component")
-    classes = prints.groupBy("node").agg(F.min("id").alias("class_id"))
     named = materialise(classes.join(comps, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("of"), "class_id", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy(F.col("component").alias("whole")).agg(F.min("class_id").alias("component_id"))
     ids = named.join(least, F.col("component") == F.col("whole")).select("of", "class_id", "component_id")
@@ -286,9 +285,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty texts are near duplicates of one another; an empty table stays empty.
     """
     groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where("id = component_id").groupBy("component_id").agg(F.min("h").alias("kept_h"))
+    kept = materialise(groups.where("id = component_id").groupBy(F.col("component_id").alias("kept_id")).agg(F.min("h").alias("kept_h")), "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return one_of_each(docs, kept.withColumnRenamed("component_id", "kept_id"), id_col, F.xxhash64(text))
+    return one_of_each(docs, kept, id_col, F.xxhash64(text))
 
 
 __all__ = ["hashed_rows", "keep_one", "links", "near_duplicates", "spanning_links"]
