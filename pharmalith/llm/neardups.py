@@ -15,26 +15,34 @@ shingles, whichever is less, and each text is copied once for every block of
 its group.  A group of more than ``BANDS`` blocks, which texts may form that
 are hardly alike, is cut by its bands instead: a text is then copied for each
 bucket that it shares with others, and blocks are those of a bucket.
+
+Only texts of classes that met are read again.  A bitmap of their hashes, of
+bounded size, keeps most others from being shuffled; beyond about 100 million
+classes that met it is full, and all texts are shuffled once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from .bytewords import row_slices, shingle_sets, text_buffer
 from .components import connected_components
-from .shared import discard, materialise, one_of_each
+from .shared import discard, materialise, one_of_each, open_fs
 
 SHINGLE = 5
 #: Likeness from which two texts are near duplicates.
 LIKE = 0.8
 BANDS = 40
 ROWS = 7
+#: Bits of the bitmap of texts that are read again: 16 for each, and at most this power of two (32 MB).
+MOST_BITS = 28
 BLOCK_TEXTS = 8192
 BLOCK_SHINGLES = 500_000
 _rng = np.random.default_rng(20250117)
@@ -230,25 +238,46 @@ def hashed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def links(rows: DataFrame, prints: DataFrame, classes: DataFrame, threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, most_blocks: int = BANDS) -> DataFrame:
-    """``a, b``: verified links between classes, out of ``id, h, text`` rows, their ``_classes``, and a row per class (``node, first, size``)."""
-    met = prints.select("node", "keys").mapInArrow(_met_in_batch, "key long, node long, least long")
+def _with_hash_in(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows (``id, h, text``) whose ``h`` may be one of the members'; no member is lost."""
+    bits = min(MOST_BITS, max(15, math.ceil(math.log2(16 * max(members.count(), 1)))))
+    at = F.shiftrightunsigned("h", 64 - bits)
+    table = members.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(0x7FFF))).alias("bits"))
+    uri = materialise(table, "bitmap")._written_at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = open_fs(uri)
+        parts = pq.read_table(path, filesystem=fs)
+        bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for part, own in zip(parts["part"].to_pylist(), parts["bits"].to_pylist()):
+            bitmap[part * 4096 : (part + 1) * 4096] = np.frombuffer(own, np.uint8)
+        for batch in batches:
+            at = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            yield batch.filter(pa.array((bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.mapInArrow(run, "id long, h long, text string")
+
+
+def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, most_blocks: int = BANDS) -> DataFrame:
+    """``a, b``: verified links between classes, out of ``id, h, text`` rows, their ``_classes`` (a written table, which goes), and a row per class (``node, first, size``)."""
+    met = keyed.select("node", "keys").mapInArrow(_met_in_batch, "key long, node long, least long")
     met = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met_in_bucket, "a long, b long").distinct()
     groups = connected_components(met, "a", "b").select(F.col("node").alias("member"), F.col("component").alias("g"))
     members = materialise(classes.join(groups, F.col("node") == F.col("member")).select("node", "g", "size", "first.id", "first.h"), "members")
     cells, large = _cells(members, ["g"], block_texts, block_shingles, most_blocks)
     if large is not None:
-        of_large = prints.join(members.select(F.col("node").alias("member"), F.col("g")).join(large.select("g"), "g", "left_semi"), F.col("node") == F.col("member")).select("node", "size", "keys")
+        of_large = keyed.join(members.select(F.col("node").alias("member"), F.col("g")).join(large.select("g"), "g", "left_semi"), F.col("node") == F.col("member")).select("node", "size", "keys")
 
         def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 key, row = _flat_keys(batch.column(2))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), _longs(key)], ["node", "size", "key"])
 
-        buckets = of_large.mapInArrow(exploded, "node long, size long, key long").distinct()
+        buckets = materialise(of_large.mapInArrow(exploded, "node long, size long, key long").distinct(), "buckets")
         cells = cells.unionAll(_cells(buckets, ["key"], block_texts, block_shingles)[0])
-    wanted = members.select(F.col("node"), F.col("id").alias("first_id"), F.col("h").alias("first_h"))
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).select(F.col("node").alias("of"), "text")
+    discard(keyed)
+    wanted = members.select(F.col("node").alias("of"), F.col("id").alias("first_id"), F.col("h").alias("first_h"))
+    texts = _with_hash_in(rows, members).join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).select("of", "text")
     dealt = cells.join(texts, F.col("node") == F.col("of")).select("cell", "node", "text")
     return materialise(dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_link(threshold), "a long, b long"), "links")
 
@@ -264,10 +293,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one; texts of one id are told apart; an empty table gives no rows.
     """
     rows = hashed_rows(docs, id_col, text_col)
-    prints = materialise(_classes(rows), "classes")
+    keyed = materialise(_classes(rows), "keys")
+    prints = materialise(keyed.drop("keys"), "classes")
     # a row of each class stands for it
     classes = materialise(prints.groupBy("node").agg(F.min("id").alias("class_id"), F.min(F.struct("id", "h")).alias("first"), F.min("size").alias("size")), "reps")
-    found = links(rows, prints, classes, threshold, **sizes)
+    found = links(rows, keyed, classes, threshold, **sizes)
     comps = connected_components(found, "a", "b").select(F.col("node").alias("linked"), "component")
     named = materialise(classes.join(comps, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("of"), "class_id", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy(F.col("component").alias("whole")).agg(F.min("class_id").alias("component_id"))

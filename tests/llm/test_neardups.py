@@ -122,3 +122,14 @@ def test_spanning_links_of_odd_sets():
     some = [np.array(x, dtype=np.uint64) for x in ([], [1, 2, 3, 4, 5], [], [1, 2, 3, 4, 9], [1, 2, 3, 4], [7], [7], [])]
     assert {frozenset(x) for x in neardups.spanning_links(some)} == {frozenset(x) for x in ((1, 4), (3, 4), (5, 6))}
     assert neardups.spanning_links([]) == [] and neardups.spanning_links(some[:1]) == []
+
+
+def test_bitmap_loses_no_member(spark, monkeypatch):
+    rows = neardups.hashed_rows(spark.createDataFrame([(k if k % 3 else None, f"text {k}") for k in range(3000)], "doc_id long, text string"), "doc_id", "text")
+    members = rows.where("length(text) = 6").select("id", "h")
+    want = sorted(r.text for r in rows.where("length(text) = 6").collect())
+    for bits in (neardups.MOST_BITS, 15):
+        monkeypatch.setattr(neardups, "MOST_BITS", bits)
+        got = [r.text for r in neardups._with_hash_in(rows, members).collect()]
+        assert set(want) <= set(got) and len(got) < 1500
+    assert neardups._with_hash_in(rows, members.limit(0)).collect() == []
