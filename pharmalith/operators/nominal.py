@@ -8,12 +8,13 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import nearest_cut
+from ..sources.shared import written
 
 log = logging.getLogger(__name__)
 
 GRID = 512
-#: Distinct times from which they are first gathered in cells, this many in a bandwidth.
-MANY_TIMES, CELLS_A_BANDWIDTH = 100_000, 64
+#: Bandwidths from which a time adds nothing to a grid point: the kernel is zero in double precision.
+REACH = 39
 
 
 def bandwidth(n: float, sd: float | None, iqr: float, first: float) -> float:
@@ -23,29 +24,66 @@ def bandwidth(n: float, sd: float | None, iqr: float, first: float) -> float:
     return 0.9 * low * n ** -0.2
 
 
+def quantiles(values: DataFrame, n: int, probabilities: list[float]) -> list[float]:
+    """Exact quantiles, linear between order statistics, of ``t`` that stand ``n`` times in all.
+
+    ``values`` is a row per distinct ``t`` with its count ``n``.  It is dealt by
+    ranges; the driver gets a row per range, and then looks for a rank only
+    within the range that has it.
+    """
+    placed = written(values.repartitionByRange("t").sortWithinPartitions("t").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = sorted((r.low, r.part, r.n) for r in placed.groupBy("part").agg(F.min("t").alias("low"), F.sum("n").alias("n")).collect())
+    held: dict[int, float] = {}
+
+    def at(rank: int) -> float:
+        """The value with ``rank`` others before it."""
+        before = 0
+        for _, part, size in parts:
+            if rank < before + size:
+                if rank not in held:
+                    running = F.sum("n").over(Window.partitionBy("part").orderBy("t"))
+                    held[rank] = placed.where(F.col("part") == part).withColumn("upto", running).where(F.col("upto") > rank - before).agg(F.min("t")).first()[0]
+                return held[rank]
+            before += size
+        raise ValueError(f"no rank {rank}")
+
+    out = []
+    for p in probabilities:
+        place = (n - 1) * p
+        low = math.floor(place)
+        first = at(low)
+        out.append(first if place == low else first + (place - low) * (at(low + 1) - first))
+    return out
+
+
 def density(times: DataFrame, column: str, adjust: float = 0.5, bw: float | None = None, grid: int = GRID) -> DataFrame:
     """``i, gx, y``: the density of the times on ``grid`` points from three bandwidths below to three above them.
 
-    One aggregate gives the range and quartiles; the sum over the grid runs on
-    distinct times with their counts, partial sums first, so what is shuffled
-    is a row per grid point and task.
+    Equal times are counted first.  The sum over the grid then runs on distinct
+    times, each at the points that it reaches, with partial sums, so what is
+    shuffled is a row per grid point and task.  The same for any number of rows.
     """
     t = F.col(column).cast("double")
-    values = times.where(t.isNotNull()).groupBy(t.alias("t")).agg(F.count("*").alias("n"))
-    stats = times.agg(F.count(t).alias("n"), F.min(t).alias("low"), F.max(t).alias("high"), F.stddev_samp(t).alias("sd"), F.percentile(t, F.lit([0.25, 0.75])).alias("q")).first()
+    values = written(times.where(t.isNotNull()).groupBy(t.alias("t")).agg(F.count("*").alias("n")), "times")
+    stats = values.agg(F.sum("n").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"), (F.sum(F.col("n") * F.col("t")) / F.sum("n")).alias("mean")).first()
     if not stats.n:
         raise ValueError("no times")
-    h = adjust * (bw if bw is not None else bandwidth(stats.n, stats.sd, stats.q[1] - stats.q[0], stats.low))
+    if bw is None:
+        squares = values.agg(F.sum(F.col("n") * F.pow(F.col("t") - F.lit(stats["mean"]), F.lit(2.0)))).first()[0]
+        sd = math.sqrt(squares / (stats.n - 1)) if stats.n > 1 else None
+        low, high = quantiles(values, stats.n, [0.25, 0.75])
+        bw = bandwidth(stats.n, sd, high - low, stats.low)
+    h = adjust * bw
     start, stop = stats.low - 3 * h, stats.high + 3 * h
     step = (stop - start) / (grid - 1)
-    if stats.n > MANY_TIMES:
-        cell = F.lit(h / CELLS_A_BANDWIDTH)
-        values = values.groupBy((F.round(F.col("t") / cell) * cell).alias("t")).agg(F.sum("n").alias("n"))
-    points = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.struct(i.alias("i"), (F.lit(start) + i * F.lit(step)).alias("gx")))
+    nearest = lambda side: F.least(F.greatest(F.floor((F.col("t") + F.lit(side * REACH * h) - F.lit(start)) / F.lit(step)) + F.lit(0 if side < 0 else 1), F.lit(0)), F.lit(grid - 1)).cast("int")
+    points = F.transform(F.sequence(nearest(-1), nearest(1)), lambda i: F.struct(i.alias("i"), (F.lit(start) + i * F.lit(step)).alias("gx")))
     on_grid = values.select("t", "n", F.explode(points).alias("g")).select("g.i", "g.gx", "t", "n")
     z = (F.col("gx") - F.col("t")) / F.lit(h)
     weight = 1.0 / (stats.n * h * math.sqrt(2 * math.pi))
-    return on_grid.groupBy("i", "gx").agg((F.sum(F.col("n") * F.exp(-0.5 * z * z)) * F.lit(weight)).alias("y"))
+    found = on_grid.groupBy("i").agg((F.sum(F.col("n") * F.exp(-0.5 * z * z)) * F.lit(weight)).alias("y"))
+    every = times.sparkSession.range(grid).select(F.col("id").cast("int").alias("i"), (F.lit(start) + F.col("id") * F.lit(step)).alias("gx"))
+    return every.join(found, "i", "left").select("i", "gx", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
 def peaks(curve: DataFrame) -> DataFrame:
