@@ -68,18 +68,34 @@ def nearest_cut(column: Column, values: list[float]) -> Column:
     return F.when(column.isNotNull(), F.element_at(F.array(*[F.lit(float(v)) for v in values]), at))
 
 
+#: Levels of all columns together that are put into the plan; more are numbered over ranges and joined.
+FEW_LEVELS = 20_000
+
+
 def coded_by_level(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds integer codes 1, 2, ... by sorted distinct value; ``columns`` maps a column to its code's name.
 
-    Null stays null.  Levels are few by nature (arms, races, countries); each
-    is numbered over its distinct values and joined back.
+    Null stays null.  Levels are few by nature (arms, races, countries): one
+    job gathers those of all columns.
     """
     from .numbering import number_rows
 
-    for name, code in columns.items():
-        levels = number_rows(df.select(F.col(name).alias("_level")).where("_level is not null").distinct(), ["_level"], code)
-        df = df.join(levels, F.col(name) == F.col("_level"), "left").drop("_level")
-    return df
+    names = list(columns)
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("value")) for k, c in enumerate(names)])
+    found = df.select(F.explode(pairs).alias("x")).select("x.k", "x.value").where("value is not null").distinct().limit(FEW_LEVELS + 1).collect()
+    if len(found) > FEW_LEVELS:
+        for name, code in columns.items():
+            levels = number_rows(df.select(F.col(name).alias("_level")).where("_level is not null").distinct(), ["_level"], code)
+            df = df.join(levels, F.col(name) == F.col("_level"), "left").drop("_level")
+        return df
+
+    def code_of(k: int, name: str) -> Column:
+        # sorted as the engine sorts the column's type
+        kind = df.schema[name].dataType
+        levels = F.array_sort(F.array(*[F.lit(r.value).cast(kind) for r in found if r.k == k]))
+        return F.when(F.col(name).isNotNull(), F.array_position(levels, F.col(name)))
+
+    return df.withColumns({columns[c]: code_of(k, c) if any(r.k == k for r in found) else F.lit(None).cast("long") for k, c in enumerate(names)})
 
 
 def upper_names(df: DataFrame) -> DataFrame:

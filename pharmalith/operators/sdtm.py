@@ -4,12 +4,14 @@ Two plans.  ``sdtm_to_modeling`` gives the 18 output columns and computes what
 they and their rows depend on, nothing else.  ``sdtm_to_adppk`` gives the full
 derivation: previous dose, relative times, analysis variables and covariates.
 
-Both deal doses and samples by subject, so the first dose, the dose before and
-the windows per subject and drug share a partitioning.
+Both deal doses and samples by subject once: the first dose, the dose before and
+the windows per subject and drug are all within that partitioning.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import coded_by_level, hours_between, to_datetime, upper_names
@@ -17,15 +19,54 @@ from ..functions import coded_by_level, hours_between, to_datetime, upper_names
 Domains = dict[str, DataFrame]
 
 SUBJECT = ["STUDYID", "USUBJID"]
+#: The subject table's columns that derivations may need, and the columns of the modeling table.
 ADSL_VARS = ["TRTSDT", "TRTSDTM", "TRT01P", "TRT01A"]
 OUTPUT = ["ID", "TIME", "DV", "MDV", "EVID", "SS", "II", "AMT", "SEXN", "AGE", "WT", "ROUTE", "FORM", "COHORT", "SITEID", "RACE", "ETHNIC", "COUNTRY"]
-
-#: Dosing frequencies as (hours between doses, doses a day); a dose a day or less often has the count of a day's part.
-FREQUENCIES = {
-    "QD": (24.0, 1.0), "BID": (12.0, 2.0), "TID": (8.0, 3.0), "QID": (6.0, 4.0), "QOD": (48.0, 0.5), "Q4H": (4.0, 6.0), "Q6H": (6.0, 4.0), "Q8H": (8.0, 3.0), "Q12H": (12.0, 2.0), "Q24H": (24.0, 1.0), "QW": (168.0, 1 / 7), "Q2W": (336.0, 1 / 14), "Q3W": (504.0, 1 / 21), "Q4W": (672.0, 1 / 28),
-}
-#: Parameters by event.
-PARAMETERS = {"DOSE": ("Dose", 0), "CONC": ("Concentration", 1)}
+#: Parameters by code, as (name, number).
+PARAMETERS = {"DRUGX": ("concentration of DrugX", 1), "DOSE": ("DrugX Dose", 2)}
+#: Helper columns that the full derivation leaves out, by name, beginning and end, in any case.
+HELPERS = {"DOMAIN", "DRUG"}
+HELPER_STARTS = ("MIN", "MAX", "EX", "PC", "VISIT", "AVISIT", "PARAM", "TRT", "ATPT")
+HELPER_ENDS = ("FIRST", "PREV", "DTM", "DT", "TM", "TMF")
+#: The subject's columns of the full derivation.
+COVARIATES = [
+    "STUDYIDN", "SITEID", "SITEIDN", "USUBJIDN", "SUBJID", "SUBJIDN", "AGE", "SEX", "SEXN", "COHORT", "COHORTC", "RACE", "RACEN", "ETHNIC", "ETHNICN", "COUNTRY", "COUNTRYN",
+    "HTBL", "WTBL", "CREATBL", "ALTBL", "ASTBL", "TBILBL", "BMIBL", "BSABL", "CRCLBL", "EGFRBL",
+]
+
+_HOURS = {"MINUTE": 1 / 60, "HOUR": 1.0, "DAY": 24.0, "WEEK": 168.0, "MONTH": 730.5, "YEAR": 8766.0}
+
+
+def _frequencies() -> dict[str, float]:
+    """Hours between doses of every dosing frequency that says them, by the rules that the public terms are made by; a single dose has none."""
+    out = {"ONCE": 0.0, "1 TIME": 0.0}
+    # times in a unit, and every so many units
+    for unit, hours in _HOURS.items():
+        out |= {f"EVERY {unit}": hours, f"1 TIME PER {unit}": hours, f"EVERY OTHER {unit}": 2 * hours}
+        out |= {f"{n} TIMES PER {unit}": hours / n for n in range(2, 13)} | {f"EVERY {n} {unit}S": n * hours for n in range(2, 61)}
+        out |= {f"{n} DAYS PER {unit}": hours / n for n in range(1, 31)} if unit in ("MONTH", "YEAR") else {}
+    for letter, unit in (("H", "HOUR"), ("D", "DAY"), ("W", "WEEK"), ("M", "MONTH"), ("Y", "YEAR"), ("MIN", "MINUTE")):
+        out |= {f"Q{n}{letter}": n * _HOURS[unit] for n in range(1, 100)} | {f"Q{letter}": _HOURS[unit]}
+    # names of their own
+    out |= {"BID": 12.0, "TID": 8.0, "QID": 6.0, "QOD": 48.0, "QAM": 24.0, "QPM": 24.0, "QHS": 24.0, "QN": 24.0, "QS": 168.0, "BIS": 84.0, "BIM": 365.25, "PA": 8766.0}
+    out |= {f"EVERY {x}": 24.0 for x in ("MORNING", "AFTERNOON", "EVENING", "NIGHT")}
+    return out
+
+
+FREQUENCIES = _frequencies()
+
+
+def with_dosing_interval(df: DataFrame, frequency: str, out: str) -> DataFrame:
+    """Adds the hours between doses; zero for a single dose or a missing frequency.
+
+    A frequency that doesn't say them raises when it is computed.  The lookup is
+    joined as what it is, a fixed table of about a thousand rows.
+    """
+    table = F.explode(F.from_json(F.lit(json.dumps(FREQUENCIES)), "map<string,double>")).alias("_term", "_hours")
+    joined = df.join(F.broadcast(df.sparkSession.range(1, numPartitions=1).select(table)), F.upper(F.trim(frequency)) == F.col("_term"), "left")
+    text = F.concat(F.lit("no interval is known for the dosing frequency "), F.col(frequency))
+    hours = F.when(F.col(frequency).isNull(), F.lit(0.0)).when(F.col("_hours").isNull(), F.raise_error(text).cast("double")).otherwise(F.col("_hours"))
+    return joined.withColumn(out, hours).drop("_term", "_hours")
 
 
 def upper_domains(data: Domains) -> Domains:
@@ -58,16 +99,15 @@ def prepare_ex(data: Domains) -> DataFrame:
 def expand_doses(ex: DataFrame, first_day_only: bool = True) -> DataFrame:
     """One row per dose of a record: ADTM, ADT, NFRLT, AVISITN, AVISIT, DRUG.
 
-    ONCE, unknown and missing frequencies are one dose.  Others have the
-    frequency's doses a day times the days from start to end, both counted,
-    rounded up.  With ``first_day_only`` the doses after nominal day 1 are
+    A single dose (ONCE, or no frequency) is one row; others are as many as
+    fit into the days from start to end, both counted, rounded up.  An unknown
+    frequency raises.  With ``first_day_only`` the doses after nominal day 1 are
     never made.
     """
-    lookup = F.create_map(*[F.lit(x) for k, v in FREQUENCIES.items() for x in (k, v[0])])
-    per_day = F.create_map(*[F.lit(x) for k, v in FREQUENCIES.items() for x in (k, v[1])])
-    step = F.coalesce(lookup[F.col("EXDOSFRQ")], F.lit(0.0))
-    days = F.datediff("AENDT", "ASTDT") + 1
-    n = F.when(step == 0, F.lit(1)).otherwise(F.greatest(F.ceil(F.coalesce(days, F.lit(1)) * per_day[F.col("EXDOSFRQ")]), F.lit(1))).cast("int")
+    step = F.col("_step")
+    ex = with_dosing_interval(ex, "EXDOSFRQ", "_step")
+    days = F.coalesce(F.datediff("AENDT", "ASTDT") + 1, F.lit(1))
+    n = F.when(step == 0, F.lit(1)).otherwise(F.greatest(F.ceil(days * 24 / step - 1e-9), F.lit(1))).cast("int")
     if first_day_only:
         # doses k with NFRLT + k * step in [0, 24)
         left = F.when(step > 0, F.ceil((24 - F.col("NFRLT")) / step)).otherwise(F.lit(1))
@@ -77,7 +117,7 @@ def expand_doses(ex: DataFrame, first_day_only: bool = True) -> DataFrame:
     at = F.when(F.col("_k") == 0, F.col("ASTDTM")).otherwise((F.timestamp_micros(F.unix_micros(F.col("ASTDTM").cast("timestamp")) + (shift * 3600000000).cast("long"))).cast("timestamp_ntz"))
     rows = rows.withColumns({"ADTM": at, "NFRLT": F.col("NFRLT") + shift})
     day = F.floor(F.col("NFRLT") / 24) + 1
-    out = rows.withColumns({"ADT": F.to_date("ADTM"), "AVISITN": day.cast("int"), "AVISIT": F.concat(F.lit("Day "), day.cast("string")), "DRUG": F.col("EXTRT")}).drop("_n", "_k")
+    out = rows.withColumns({"ADT": F.to_date("ADTM"), "AVISITN": day.cast("int"), "AVISIT": F.concat(F.lit("Day "), day.cast("string")), "DRUG": F.col("EXTRT")}).drop("_n", "_k", "_step")
     return out.where("AVISITN = 1") if first_day_only else out
 
 
@@ -126,22 +166,23 @@ def timeline(data: Domains, full: bool = False) -> DataFrame:
     """Samples and doses of each subject and drug with AFRLT; with ``full`` also previous doses and the times relative to them.
 
     Samples of drugs never dosed are left out, and so are doses after the day
-    of the last sample.
+    of the last sample.  Samples and doses are dealt by subject once; first,
+    previous and last rows are windows there, and so are those that follow.
     """
-    doses = expand_doses(prepare_ex(data))
-    samples = prepare_pc(data).join(first_doses(doses), [*SUBJECT, "DRUG"]).drop("FANLDTM")
+    samples = prepare_pc(data)
     day = F.floor(F.col("NFRLT") / 24) + 1
     samples = samples.withColumns({"AVISITN": day.cast("int"), "AVISIT": F.concat(F.lit("Day "), day.cast("string"))})
+    both = samples.unionByName(expand_doses(prepare_ex(data)), allowMissingColumns=True).repartition("USUBJID")
+    dose, drug = F.col("EVID") == 1, Window.partitionBy(*SUBJECT, "DRUG")
+    first = F.min(F.when(dose & F.col("ADTM").isNotNull(), F.struct("ADTM", "EXSEQ", "EXDOSE"))).over(drug)
+    both = both.withColumn("_first", first).where(dose | F.col("_first").isNotNull()).withColumn("EXDOSE_first", F.when(~dose, F.col("_first.EXDOSE"))).drop("_first")
     if full:
-        samples = previous_nominal(previous_dose(samples, doses), doses)
-    # dealt by subject once: the windows here and later, per subject or per subject and drug, need no shuffle of their own
-    both = samples.unionByName(doses, allowMissingColumns=True).repartition("USUBJID")
+        both = _previous(both, dose)
     own = Window.partitionBy("USUBJID", "DRUG")
-    both = both.withColumns({"FANLDTM": F.min(F.when(F.col("EVID") == 1, F.col("ADTM"))).over(own), "min_NFRLT": F.min("NFRLT").over(own), "maxdate": F.max(F.when(F.col("EVID") == 0, F.col("ADT"))).over(own)})
+    both = both.withColumns({"FANLDTM": F.min(F.when(dose, F.col("ADTM"))).over(own), "min_NFRLT": F.min("NFRLT").over(own), "maxdate": F.max(F.when(F.col("EVID") == 0, F.col("ADT"))).over(own)})
     out = both.where("ADT <= maxdate").withColumn("AFRLT", hours_between(F.col("ADTM"), F.col("FANLDTM")))
     if not full:
         return out
-    dose = F.col("EVID") == 1
     since = hours_between(F.col("ADTM"), F.col("ADTM_prev"))
     return out.withColumns(
         {
@@ -152,6 +193,21 @@ def timeline(data: Domains, full: bool = False) -> DataFrame:
     )
 
 
+def _previous(both: DataFrame, dose: Column) -> DataFrame:
+    """Adds to samples what ``previous_dose`` and ``previous_nominal`` add, where samples and doses are in one table."""
+    at = F.unix_micros(F.col("ADTM").cast("timestamp"))
+    near = F.when(dose & F.col("_at").isNotNull(), F.struct(F.col("ADTM").alias("a"), F.col("EXSEQ").alias("b"), F.col("EXDOSE").alias("c"), F.col("AVISIT").alias("d"), F.col("AENDTM").alias("e")))
+    before = Window.partitionBy("USUBJID").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    # ranges of doubles have no least step: nominal times are ranked first
+    ranked = Window.partitionBy("USUBJID").orderBy("NFRLT")
+    below = Window.partitionBy("USUBJID").orderBy("_rank").rangeBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("_at", at).withColumns({"_near": F.max(near).over(before), "_rank": F.dense_rank().over(ranked)})
+    out = out.withColumn("_below", F.max(F.when(dose, F.col("NFRLT"))).over(below))
+    sample = ~dose
+    taken = {new: F.when(sample & F.col("_at").isNotNull(), F.col(f"_near.{c}")) for new, c in (("ADTM_prev", "a"), ("EXDOSE_prev", "c"), ("AVISIT_prev", "d"), ("AENDTM_prev", "e"))}
+    return out.withColumns({**taken, "NFRLT_prev": F.when(sample & F.col("NFRLT").isNotNull(), F.col("_below"))}).drop("_at", "_near", "_rank", "_below")
+
+
 def analysis_variables(rows: DataFrame) -> DataFrame:
     """Dose and observation variables of a full timeline."""
     dose = F.col("EVID") == 1
@@ -160,10 +216,10 @@ def analysis_variables(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "DOSEA": F.when(dose, F.col("EXDOSE")).when(F.col("EXDOSE_prev").isNull(), F.col("EXDOSE_first")).otherwise(F.col("EXDOSE_prev")),
-            "PARAMCD": F.when(dose, F.lit("DOSE")).otherwise(F.lit("CONC")), "ALLOQ": F.col("PCLLOQ"), "CMT": F.when(dose, F.lit(1)).otherwise(F.lit(2)),
+            "PARAMCD": F.when(dose, F.lit("DOSE")).otherwise(F.col("PCTESTCD")), "ALLOQ": F.col("PCLLOQ"), "CMT": F.when(dose, F.lit(1)).otherwise(F.lit(2)),
             "BLQFL": F.when(below, F.lit("Y")).otherwise(F.lit("N")), "BLQFN": F.when(below, F.lit(1)).otherwise(F.lit(0)),
             "AMT": F.when(dose, F.col("EXDOSE").cast("double")), "DV": dv, "AVAL": dv, "DVL": F.when(dv != 0, F.ln(dv)), "MDV": F.when(dose | dv.isNull(), F.lit(1)).otherwise(F.lit(0)),
-            "AVALU": F.when(dose, F.col("EXDOSU")).otherwise(F.col("PCSTRESU")), "UDTC": F.date_format("ADTM", "yyyy-MM-dd'T'HH:mm:ss"), "II": F.lit(0.0), "SS": F.lit(0.0),
+            "AVALU": F.when(~dose, F.col("PCSTRESU")), "UDTC": F.date_format("ADTM", "yyyy-MM-dd'T'HH:mm:ss"), "II": F.lit(0.0), "SS": F.lit(0.0),
         }
     )
 
@@ -231,15 +287,28 @@ def covariates(data: Domains, validate: bool = True) -> DataFrame:
     return body_and_renal(out)
 
 
-def sdtm_to_adppk(data: Domains, validate: bool = True) -> DataFrame:
-    """The full derivation, a row per event."""
+def without_helpers(df: DataFrame) -> DataFrame:
+    """Leaves out the columns that only help the derivation (``HELPERS`` and the like)."""
+    helper = lambda c: c.upper() in HELPERS or c.upper().startswith(HELPER_STARTS) or c.upper().endswith(HELPER_ENDS)
+    return df.drop(*[c for c in df.columns if helper(c)])
+
+
+def sdtm_to_adppk(data: Domains, validate: bool = True, parameters: dict[str, tuple[str, int]] = PARAMETERS, helpers: bool = False) -> DataFrame:
+    """The full derivation, a row per event: event columns, PROJID, and the subject's ``COVARIATES``.
+
+    ``parameters`` names the codes' PARAM and PARAMN.  These and other columns
+    on the way are left out unless ``helpers``.
+    """
     data = upper_domains(data)
     rows = number_observations(analysis_variables(timeline(data, full=True)), validate)
-    shared = [c for c in rows.columns if c not in SUBJECT]
-    subjects = covariates(data, validate)
-    out = rows.join(subjects.drop(*[c for c in subjects.columns if c in shared]), SUBJECT, "left")
-    parameters = F.create_map(*[F.lit(x) for k, v in PARAMETERS.items() for x in (k, v[0])])
-    return out.withColumns({"PARAM": parameters[F.col("PARAMCD")], "ROUTE": F.lower("ROUTE"), "FORM": F.lower("FORM")}).where(~(F.col("DV").isNull() & (F.col("EVID") == 0)))
+    name, number = (F.create_map(*[F.lit(x) for k, v in parameters.items() for x in (k, v[i])]) for i in (0, 1))
+    rows = rows.withColumns({"PARAM": F.try_element_at(name, F.col("PARAMCD")), "PARAMN": F.try_element_at(number, F.col("PARAMCD")), "PROJID": F.col("DRUG"), "PROJIDN": F.lit(1)})
+    if not helpers:
+        rows = without_helpers(rows)
+    shared = {c for c in rows.columns if c not in SUBJECT}
+    subjects = covariates(data, validate).select(*SUBJECT, *[c for c in COVARIATES if c not in shared])
+    out = rows.join(subjects, SUBJECT, "left")
+    return out.withColumns({"ROUTE": F.lower("ROUTE"), "FORM": F.lower("FORM")}).where(~(F.col("DV").isNull() & (F.col("EVID") == 0)))
 
 
 def sdtm_to_modeling(data: Domains, dictionary: object = None, validate: bool = True, ordered: bool = False) -> DataFrame:

@@ -35,13 +35,13 @@ VIEWS = {
         ) WHERE c_custkey % 17 <> 0""",
     "ex": f"""
         SELECT '01' AS STUDYID, {_SUBJECT} AS USUBJID, k AS EXSEQ, CASE WHEN c_custkey % 2 = 0 THEN 'DRUGX' ELSE 'DRUGY' END AS EXTRT, cast((k % 5) * 50 as double) AS EXDOSE, 'mg' AS EXDOSU,
-          CASE WHEN k % 3 = 0 THEN 'ONCE' WHEN k % 3 = 1 THEN 'QD' ELSE 'BID' END AS EXDOSFRQ, CASE WHEN c_custkey % 2 = 0 THEN 'TABLET' ELSE 'Capsule' END AS EXDOSFRM,
+          CASE k % 8 WHEN 0 THEN 'ONCE' WHEN 1 THEN 'QD' WHEN 2 THEN 'BID' WHEN 3 THEN 'TID' WHEN 4 THEN 'Q6H' WHEN 5 THEN 'QOD' WHEN 6 THEN 'QW' ELSE '3 TIMES PER WEEK' END AS EXDOSFRQ, CASE WHEN c_custkey % 2 = 0 THEN 'TABLET' ELSE 'Capsule' END AS EXDOSFRM,
           CASE WHEN k % 6 = 0 THEN 'Oral' WHEN k % 6 = 1 THEN 'SUBCUTANEOUS' WHEN k % 6 = 3 THEN 'iv' WHEN k % 6 = 4 THEN 'Intramuscular' WHEN k % 6 = 5 THEN 'unknown' END AS EXROUTE,
           CASE WHEN k % 19 = 0 THEN NULL WHEN k % 17 = 0 THEN substr(cast(day as string), 1, 7) ELSE cast(day as string) END AS EXSTDTC,
           CASE WHEN k % 4 = 0 THEN NULL ELSE cast(cast(day + INTERVAL '3' DAY as date) as string) END AS EXENDTC, CASE WHEN k % 7 = 0 THEN 8 ELSE 1 END AS VISITDY
         FROM (SELECT o_custkey, cast(o_orderdate as date) AS day, min(o_orderkey) AS k FROM {{orders}} GROUP BY o_custkey, cast(o_orderdate as date)) JOIN {{customer}} ON o_custkey = c_custkey""",
     "pc": f"""
-        SELECT '01' AS STUDYID, {_SUBJECT} AS USUBJID, 'CONC' AS PCTESTCD, CASE WHEN c_custkey % 2 = 0 THEN 'DRUGX' ELSE 'DRUGY' END AS PCTEST, cast(day as string) || 'T' || lpad(cast(l_linenumber as string), 2, '0') || ':00:00' AS PCDTC,
+        SELECT '01' AS STUDYID, {_SUBJECT} AS USUBJID, CASE WHEN c_custkey % 3 = 0 THEN 'METAB' ELSE 'DRUGX' END AS PCTESTCD, CASE WHEN c_custkey % 2 = 0 THEN 'DRUGX' ELSE 'DRUGY' END AS PCTEST, cast(day as string) || 'T' || lpad(cast(l_linenumber as string), 2, '0') || ':00:00' AS PCDTC,
           cast(l_linenumber - 2 as double) AS PCTPTNUM, CASE WHEN v < 5 THEN '<BLQ' ELSE cast(cast(v as bigint) as string) END AS PCSTRESC, CASE WHEN v < 5 THEN NULL ELSE v END AS PCSTRESN, 'ng/mL' AS PCSTRESU, cast(5 as double) AS PCLLOQ
         FROM (
           SELECT o_custkey, cast(o_orderdate as date) AS day, l_linenumber, min(cast(l_quantity as double)) AS v
