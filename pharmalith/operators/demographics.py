@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import number_text, round_one, try_number
 from ..sources import write_csv
 
+#: What is summarised by default.
 DEFAULT = ("weight", "height", "sex", "age", "race", "ethnic", "arm")
-#: Columns that may come from the subject table.
+#: Columns that may come from the subject table.
 FROM_DM = ("age", "sex", "race", "ethnic", "arm", "actarm", "country", "siteid", "studyid", "domain", "armcd")
+#: Statistics, in their order.
 STATISTICS = ("mean", "sd", "median", "min_max")
 
 
@@ -32,6 +34,8 @@ def subject_demographics(data: dict[str, DataFrame], demographics: Sequence[str]
     """A row per subject with the demographics found, and their names: vitals first, then the subject table's.
 
     Unknown names are skipped; none found raises.  A name found in both raises.
+    Of a subject's several rows the first by ``order_by`` counts, in each table
+    that has that column; without it rows count as read.
     """
     data = {k.lower(): v for k, v in data.items()}
     wanted = list(dict.fromkeys(d.lower() for d in demographics))
@@ -46,7 +50,8 @@ def subject_demographics(data: dict[str, DataFrame], demographics: Sequence[str]
         raise ValueError(f"no demographics found among {wanted}")
     extra = [group.lower()] if group and group.lower() not in from_dm else []
     if dm is not None:
-        low = _lower(dm).withColumn("_ord", F.monotonically_increasing_id())
+        own = order_by.lower() if order_by and order_by.lower() in in_dm else None
+        low = _lower(dm).withColumn("_ord", F.col(own).cast("long") if own else F.monotonically_increasing_id())
         columns = [*from_dm, *extra]
         subjects = low.groupBy("usubjid").agg(F.min(F.struct("_ord", *columns)).alias("x")).select("usubjid", *[F.col(f"x.{c}").alias(c) for c in columns])
         if from_vs:
@@ -75,18 +80,29 @@ def continuous_summary(subjects: DataFrame, names: Sequence[str], group: Sequenc
     return wide.unpivot([*group, "name"], list(STATISTICS), "statistic", "value")
 
 
-def categorical_summary(subjects: DataFrame, names: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """Counts of each level of each name, nulls left out; long, in one aggregate."""
-    levels = subjects.select(*group, *[F.col(n).cast("string").alias(n) for n in names]).unpivot(list(group), list(names), "name", "level").where("level is not null")
-    return levels.groupBy(*group, "name", "level").agg(F.count("*").cast("string").alias("value"))
+def categorical_summary(subjects: DataFrame, names: Sequence[str], group: Sequence[str] = (), levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Counts of each level of each name, nulls left out; long, in one aggregate.
+
+    ``levels`` names all levels that a column may have: those that no subject
+    has count 0 (in each group), as levels of a factor do.
+    """
+    rows = subjects.select(*group, *[F.col(n).cast("string").alias(n) for n in names]).unpivot(list(group), list(names), "name", "level").where("level is not null")
+    counts = rows.groupBy(*group, "name", "level").agg(F.count("*").alias("n"))
+    given = [(n.lower(), x) for n, own in (levels or {}).items() if n.lower() in names for x in own]
+    if given:
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("level")) for n, x in given])).alias("x")
+        groups = subjects.select(*group).distinct() if group else subjects.sparkSession.range(1).select()
+        counts = counts.unionByName(groups.select(*group, pairs).select(*group, "x.name", "x.level", F.lit(0).cast("long").alias("n"))).groupBy(*group, "name", "level").agg(F.sum("n").alias("n"))
+    return counts.select(*group, "name", "level", F.col("n").cast("string").alias("value"))
 
 
-def create_demographics_table(data: dict[str, DataFrame], demographics: Sequence[str] = DEFAULT, group: str | None = None, path: str | None = None, order_by: str | None = None) -> DataFrame:
+def create_demographics_table(data: dict[str, DataFrame], demographics: Sequence[str] = DEFAULT, group: str | None = None, path: str | None = None, order_by: str | None = None, levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Demographic, Statistic, Value/count: continuous ones by name, then categorical ones as asked for, levels sorted.
 
     A demographic's name stands on its first row only.  ``group`` adds a
-    summary per value of that column, first column of the result.  ``path``
-    also writes CSV.  Which vitals and kinds there are decides the result's
+    summary per value of that column, first column of the result.  ``levels``
+    adds levels that nobody has (see ``categorical_summary``).  ``path`` also
+    writes CSV.  Which vitals and kinds there are decides the result's
     shape, so two small jobs run first.
     """
     subjects, names = subject_demographics(data, demographics, group, order_by)
@@ -98,7 +114,7 @@ def create_demographics_table(data: dict[str, DataFrame], demographics: Sequence
         parts.append(continuous_summary(subjects, continuous, keys).select(*keys, F.lit(0).alias("_section"), F.lit(0).cast("long").alias("_name"), "name", stat.alias("_stat"), "statistic", "value"))
     if categorical:
         at = F.array_position(F.array(*[F.lit(n) for n in categorical]), F.col("name"))
-        parts.append(categorical_summary(subjects, categorical, keys).select(*keys, F.lit(1).alias("_section"), at.alias("_name"), "name", F.lit(0).cast("long").alias("_stat"), F.col("level").alias("statistic"), "value"))
+        parts.append(categorical_summary(subjects, categorical, keys, levels).select(*keys, F.lit(1).alias("_section"), at.alias("_name"), "name", F.lit(0).cast("long").alias("_stat"), F.col("level").alias("statistic"), "value"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     order = ["_section", "_name", "name", "_stat", "statistic"]
     first = F.row_number().over(Window.partitionBy(*keys, "name").orderBy(*order)) == 1

@@ -8,6 +8,7 @@ from .modeling import Dictionary, modeling_to_modeling, modeling_to_nca
 from .nca import nca_to_modeling
 from .sdtm import sdtm_to_modeling
 
+#: The layouts.
 INPUTS, OUTPUTS = ("auto", "nca", "modeling", "sdtm"), ("nca", "modeling")
 
 

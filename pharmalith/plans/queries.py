@@ -46,15 +46,16 @@ _UNIFORM = "((('0x' || substr(md5({row} || '-' || '{stream}' || '-' || '{seed}')
 STEPS = {
     "pcp": f"SELECT *, {_DTM.format('PCDTC')} AS ADTM, cast({_DTM.format('PCDTC')} as date) AS ADT, PCTEST AS DRUG, CASE WHEN PCTPTNUM < 0 THEN 0.0 ELSE PCTPTNUM END AS NFRLT FROM pc",
     "exp0": f"SELECT *, {_DTM.format('EXSTDTC')} AS ASTDTM, coalesce({_DTM.format('EXENDTC')}, {_DTM.format('EXSTDTC')}) AS AENDTM, cast(24 * (VISITDY - 1) as double) AS N0 FROM ex WHERE EXDOSE > 0",
-    "exk": "SELECT *, CASE EXDOSFRQ WHEN 'QD' THEN 24 WHEN 'BID' THEN 12 ELSE 0 END AS step, unnest(range(0, CASE EXDOSFRQ WHEN 'QD' THEN coalesce(date_diff('day', cast(ASTDTM as date), cast(AENDTM as date)) + 1, 1) WHEN 'BID' THEN 2 * coalesce(date_diff('day', cast(ASTDTM as date), cast(AENDTM as date)) + 1, 1) ELSE 1 END)) AS k FROM exp0",
+    "exs": "SELECT *, CASE EXDOSFRQ WHEN 'QD' THEN 24 WHEN 'BID' THEN 12 WHEN 'TID' THEN 8 WHEN 'Q6H' THEN 6 WHEN 'QOD' THEN 48 WHEN 'QW' THEN 168 WHEN '3 TIMES PER WEEK' THEN 56 ELSE 0 END AS step, coalesce(date_diff('day', cast(ASTDTM as date), cast(AENDTM as date)) + 1, 1) AS days FROM exp0",
+    "exk": "SELECT *, unnest(range(0, CASE WHEN step = 0 THEN 1 ELSE greatest((days * 24 + step - 1) // step, 1) END)) AS k FROM exs",
     "exd": "SELECT *, ASTDTM + (k * step) * INTERVAL 1 HOUR AS ADTM, cast(ASTDTM + (k * step) * INTERVAL 1 HOUR as date) AS ADT, N0 + k * step AS NFRLT, cast(floor((N0 + k * step) / 24) as int) + 1 AS AVISITN, EXTRT AS DRUG FROM exk",
     "ex1": "SELECT * FROM exd WHERE AVISITN = 1",
     "firsts": "SELECT STUDYID, USUBJID, DRUG, min(ADTM) AS FANLDTM, arg_min(EXDOSE, (ADTM, EXSEQ)) AS EXDOSE_first FROM ex1 WHERE ADTM IS NOT NULL GROUP BY ALL",
     "obs": "SELECT p.*, f.EXDOSE_first FROM pcp p JOIN firsts f USING (STUDYID, USUBJID, DRUG)",
     "prev": "SELECT o.USUBJID, o.ADTM, o.NFRLT, o.PCTPTNUM, d.ADTM AS ADTM_prev, d.EXDOSE AS EXDOSE_prev, d.AENDTM AS AENDTM_prev FROM obs o LEFT JOIN LATERAL (SELECT * FROM ex1 e WHERE e.USUBJID = o.USUBJID AND e.ADTM < o.ADTM ORDER BY e.ADTM DESC, e.EXSEQ DESC LIMIT 1) d ON true",
     "prevn": "SELECT o.USUBJID, o.ADTM, o.NFRLT, max(e.NFRLT) AS NFRLT_prev FROM obs o LEFT JOIN ex1 e ON e.USUBJID = o.USUBJID AND e.NFRLT < o.NFRLT GROUP BY ALL",
-    "tl": """SELECT STUDYID, USUBJID, DRUG, 0 AS EVID, ADTM, ADT, NFRLT, PCSTRESN, PCSTRESC, NULL AS EXDOSE, EXDOSE_first, NULL AS EXROUTE, NULL AS EXDOSFRM FROM obs
-        UNION ALL SELECT STUDYID, USUBJID, DRUG, 1, ADTM, ADT, NFRLT, NULL, NULL, EXDOSE, NULL, EXROUTE, EXDOSFRM FROM ex1""",
+    "tl": """SELECT STUDYID, USUBJID, DRUG, 0 AS EVID, ADTM, ADT, NFRLT, PCSTRESN, PCSTRESC, PCTESTCD, PCLLOQ, PCSTRESU, NULL AS EXDOSE, EXDOSE_first, NULL AS EXROUTE, NULL AS EXDOSFRM FROM obs
+        UNION ALL SELECT STUDYID, USUBJID, DRUG, 1, ADTM, ADT, NFRLT, NULL, NULL, NULL, NULL, NULL, EXDOSE, NULL, EXROUTE, EXDOSFRM FROM ex1""",
     "tlw": "SELECT *, min(CASE WHEN EVID = 1 THEN ADTM END) OVER w AS FANLDTM, min(NFRLT) OVER w AS min_NFRLT, max(CASE WHEN EVID = 0 THEN ADT END) OVER w AS maxdate FROM tl WINDOW w AS (PARTITION BY USUBJID, DRUG)",
     "tline": f"SELECT *, {_HOURS.format('ADTM', 'FANLDTM')} AS AFRLT FROM tlw WHERE ADT <= maxdate",
     "bvs": "SELECT STUDYID, USUBJID, max(CASE WHEN VSTESTCD = 'HEIGHT' THEN VSSTRESN END) AS HTBL, max(CASE WHEN VSTESTCD = 'WEIGHT' AND VSBLFL = 'Y' THEN VSSTRESN END) AS WTBL FROM vs GROUP BY ALL",
@@ -71,11 +72,12 @@ STEPS = {
     "kstat": "SELECT count(TIME) AS n, min(TIME) AS lo, max(TIME) AS hi, stddev_samp(TIME) AS sd, quantile_cont(TIME, 0.75) - quantile_cont(TIME, 0.25) AS iqr FROM samples",
     "kbw": "SELECT *, 0.7 * 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS h FROM kstat",
     "kgrid": "SELECT unnest(range(0, 512)) AS i, * FROM kbw",
-    "kcells": "SELECT CASE WHEN (SELECT n FROM kbw) > 100000 THEN round(TIME / ((SELECT h FROM kbw) / 64)) * ((SELECT h FROM kbw) / 64) ELSE TIME END AS t, count(*) AS c FROM samples GROUP BY 1",
+    "kcells": "SELECT TIME AS t, count(*) AS c FROM samples GROUP BY TIME",
     "kdens": "SELECT i, any_value(lo - 3 * h + i * ((hi + 3 * h) - (lo - 3 * h)) / 511) AS gx, sum(c * exp(-0.5 * pow((lo - 3 * h + i * ((hi + 3 * h) - (lo - 3 * h)) / 511 - t) / h, 2))) AS y FROM kgrid CROSS JOIN kcells GROUP BY i",
     "kdelta": "SELECT *, coalesce(lead(y) OVER (ORDER BY i) - y, 0) AS delta FROM kdens",
     "kpeaks": "SELECT i, gx FROM (SELECT *, coalesce(lag(delta) OVER (ORDER BY i), 0) AS before FROM kdelta) WHERE delta < 0 AND before >= 0",
     "ktimes": "SELECT row_number() OVER (ORDER BY i) AS nth, CASE WHEN i = (SELECT max(i) FROM kpeaks) THEN ceil(gx) ELSE floor(gx) END AS nominal FROM kpeaks",
+    "levels": "SELECT *, dense_rank() OVER (ORDER BY RACE) AS RACEN, dense_rank() OVER (ORDER BY ETHNIC) AS ETHNICN, dense_rank() OVER (ORDER BY COUNTRY) AS COUNTRYN, dense_rank() OVER (ORDER BY ARM) AS COHORT, ARM AS COHORTC FROM adsl",
     "pool": "SELECT row_number() OVER (ORDER BY c_custkey) AS nth, * FROM covs WHERE WT BETWEEN 50 AND 90 AND AGE BETWEEN 20 AND 60",
 }
 STEPS = {"ncaids": "SELECT USUBJID, row_number() OVER (ORDER BY min(ORD)) AS sid FROM nca GROUP BY USUBJID", **STEPS}
@@ -156,6 +158,12 @@ def demographics_table(spark, sf_dir):
     return demographics.create_demographics_table(_domains(spark, sf_dir), order_by="ORD")
 
 
+@_register("""SELECT name, level, cast(sum(n) as varchar) AS value FROM (SELECT 'sex' AS name, sex AS level, count(*) AS n FROM demo WHERE sex IS NOT NULL GROUP BY sex
+    UNION ALL SELECT 'sex', unnest(['F', 'M', 'U', 'UNDIFFERENTIATED']), 0) GROUP BY ALL""")
+def demographics_levels(spark, sf_dir):
+    return demographics.categorical_summary(_demo(spark, sf_dir), ["sex"], levels={"SEX": ["F", "M", "U", "UNDIFFERENTIATED"]})
+
+
 @_register("""WITH g AS (SELECT arm, 'age' AS name, avg(age) AS m, stddev_samp(age) AS s, median(age) AS d, min(age) AS lo, max(age) AS hi FROM demo GROUP BY arm)
     SELECT arm, CASE WHEN nth = 1 THEN name ELSE '' END AS "Demographic", statistic AS "Statistic", value AS "Value/count" FROM (
       SELECT arm, name, unnest(['mean', 'sd', 'median', 'min_max']) AS statistic, unnest([{m}, {s}, {d}, {lo} || ' - ' || {hi}]) AS value, unnest([1, 2, 3, 4]) AS nth FROM g)""".format(m=_TEXT.format("m"), s=_TEXT.format("s"), d=_TEXT.format("d"), lo=_TEXT.format("lo"), hi=_TEXT.format("hi")))
@@ -230,12 +238,21 @@ def relative_times(spark, sf_dir):
     return sdtm.timeline(_domains(spark, sf_dir), full=True).select("USUBJID", "DRUG", "EVID", "ADTM", "AFRLT", "APRLT", "NPRLT")
 
 
-@_register("""SELECT t.USUBJID, t.EVID, t.ADTM, CASE WHEN EVID = 1 THEN EXDOSE WHEN EXDOSE_prev IS NULL THEN EXDOSE_first ELSE EXDOSE_prev END AS DOSEA, CASE WHEN EVID = 1 THEN 'DOSE' ELSE 'CONC' END AS PARAMCD, CASE WHEN EVID = 1 THEN 1 ELSE 2 END AS CMT,
-      CASE WHEN PCSTRESC = '<BLQ' THEN 'Y' ELSE 'N' END AS BLQFL, cast(CASE WHEN EVID = 1 THEN EXDOSE END as double) AS AMT, cast(PCSTRESN as double) AS DV, CASE WHEN EVID = 1 OR PCSTRESN IS NULL THEN 1 ELSE 0 END AS MDV, strftime(t.ADTM, '%Y-%m-%dT%H:%M:%S') AS UDTC
-    FROM tline t LEFT JOIN prev p ON EVID = 0 AND p.USUBJID = t.USUBJID AND p.ADTM = t.ADTM""")
+_ANALYSIS = """CASE WHEN EVID = 1 THEN EXDOSE WHEN EXDOSE_prev IS NULL THEN EXDOSE_first ELSE EXDOSE_prev END AS DOSEA, PCLLOQ AS ALLOQ, CASE WHEN EVID = 1 THEN 1 ELSE 2 END AS CMT, CASE WHEN PCSTRESC = '<BLQ' THEN 'Y' ELSE 'N' END AS BLQFL,
+      CASE WHEN PCSTRESC = '<BLQ' THEN 1 ELSE 0 END AS BLQFN, cast(CASE WHEN EVID = 1 THEN EXDOSE END as double) AS AMT, cast(PCSTRESN as double) AS DV, cast(PCSTRESN as double) AS AVAL, floor(CASE WHEN PCSTRESN <> 0 THEN ln(PCSTRESN) END * 1000000) AS DVL,
+      CASE WHEN EVID = 1 OR PCSTRESN IS NULL THEN 1 ELSE 0 END AS MDV, PCSTRESU AS AVALU, strftime(t.ADTM, '%Y-%m-%dT%H:%M:%S') AS UDTC, 0.0::double AS II, 0.0::double AS SS"""
+_WITH_PREVIOUS = "tline t LEFT JOIN prev p ON EVID = 0 AND p.USUBJID = t.USUBJID AND p.ADTM = t.ADTM LEFT JOIN prevn q ON EVID = 0 AND q.USUBJID = t.USUBJID AND q.ADTM = t.ADTM"
+
+
+def _micro(df: DataFrame, *columns: str) -> DataFrame:
+    """Millionths, rounded down: the engines' logarithms and powers differ in the last digits."""
+    return df.withColumns({c: F.floor(F.col(c) * 1000000).cast("double") for c in columns})
+
+
+@_register(f"SELECT t.USUBJID, t.EVID, t.ADTM, CASE WHEN EVID = 1 THEN 'DOSE' ELSE PCTESTCD END AS PARAMCD, {_ANALYSIS} FROM {_WITH_PREVIOUS}")
 def analysis_vars(spark, sf_dir):
     rows = sdtm.analysis_variables(sdtm.timeline(_domains(spark, sf_dir), full=True))
-    return rows.select("USUBJID", "EVID", "ADTM", "DOSEA", "PARAMCD", "CMT", "BLQFL", "AMT", "DV", "MDV", "UDTC")
+    return _micro(rows, "DVL").select("USUBJID", "EVID", "ADTM", "PARAMCD", "DOSEA", "ALLOQ", "CMT", "BLQFL", "BLQFN", "AMT", "DV", "AVAL", "DVL", "MDV", "AVALU", "UDTC", "II", "SS")
 
 
 @_register("SELECT USUBJID, AFRLT, EVID, cast(row_number() OVER (PARTITION BY STUDYID, USUBJID ORDER BY AFRLT NULLS LAST, EVID) as int) AS ASEQ FROM tline")
@@ -285,9 +302,40 @@ def data_for_modelfit(spark, sf_dir):
     return study_data.get_data_for_modelfit(spark, data=_domains(spark, sf_dir))
 
 
-@_register("SELECT USUBJID, EVID, AFRLT, PARAMCD, PARAM, HTBL, WTBL, CREATBL FROM (SELECT *, CASE WHEN EVID = 1 THEN 'DOSE' ELSE 'CONC' END AS PARAMCD, CASE WHEN EVID = 1 THEN 'Dose' ELSE 'Concentration' END AS PARAM FROM tline LEFT JOIN bvs USING (STUDYID, USUBJID) LEFT JOIN blb USING (STUDYID, USUBJID)) WHERE NOT (PCSTRESN IS NULL AND EVID = 0)")
+_BODY = """floor(WTBL / pow(HTBL / 100, 2.0) * 10000) AS BMIBL, floor(sqrt(HTBL * WTBL / 3600) * 10000) AS BSABL, floor((140 - AGE) * WTBL * CASE WHEN SEX = 'F' THEN 0.85 ELSE 1.0 END / (72 * (CREATBL / 88.42)) * 1000) AS CRCLBL,
+      floor(142 * pow(least(CREATBL / 88.42 / CASE WHEN SEX = 'F' THEN 0.7 ELSE 0.9 END, 1.0), CASE WHEN SEX = 'F' THEN -0.241 ELSE -0.302 END) * pow(greatest(CREATBL / 88.42 / CASE WHEN SEX = 'F' THEN 0.7 ELSE 0.9 END, 1.0), -1.2) * pow(0.9938, AGE) * CASE WHEN SEX = 'F' THEN 1.012 ELSE 1.0 END * 1000) AS EGFRBL"""
+
+
+def _events(spark, sf_dir, **options) -> DataFrame:
+    out = _micro(sdtm.sdtm_to_adppk(_domains(spark, sf_dir), **options), "DVL")
+    return out.withColumns({c: F.floor(F.col(c) * by).cast("double") for c, by in (("BMIBL", 10000), ("BSABL", 10000), ("CRCLBL", 1000), ("EGFRBL", 1000))})
+
+
+@_register(f"""SELECT * FROM (SELECT t.STUDYID, t.USUBJID, EVID, t.NFRLT, AFRLT, CASE WHEN EVID = 1 THEN 0.0 WHEN ADTM_prev IS NULL THEN AFRLT ELSE {_HOURS.format('t.ADTM', 'ADTM_prev')} END AS APRLT,
+      CASE WHEN EVID = 1 THEN 0.0 WHEN NFRLT_prev IS NULL THEN t.NFRLT - min_NFRLT ELSE t.NFRLT - NFRLT_prev END AS NPRLT, lower(EXROUTE) AS ROUTE, lower(EXDOSFRM) AS FORM, {_ANALYSIS},
+      cast(row_number() OVER (PARTITION BY t.STUDYID, t.USUBJID ORDER BY AFRLT NULLS LAST, EVID) as int) AS ASEQ, t.DRUG AS PROJID, 1 AS PROJIDN,
+      cast(split_part(t.USUBJID, '-', 1) as double) AS STUDYIDN, SITEID, cast(split_part(t.USUBJID, '-', 2) as double) AS SITEIDN, cast(split_part(t.USUBJID, '-', 3) as double) AS USUBJIDN, SUBJID, cast(SUBJID as double) AS SUBJIDN, AGE, SEX, CASE SEX WHEN 'M' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS SEXN,
+      COHORT, COHORTC, RACE, RACEN, ETHNIC, ETHNICN, COUNTRY, COUNTRYN, HTBL, WTBL, CREATBL, ALTBL, ASTBL, TBILBL, {_BODY}
+    FROM {_WITH_PREVIOUS} LEFT JOIN levels l ON l.STUDYID = t.STUDYID AND l.USUBJID = t.USUBJID LEFT JOIN bvs b ON b.STUDYID = t.STUDYID AND b.USUBJID = t.USUBJID LEFT JOIN blb c ON c.STUDYID = t.STUDYID AND c.USUBJID = t.USUBJID) WHERE NOT (DV IS NULL AND EVID = 0)""")
 def sdtm_to_adppk(spark, sf_dir):
-    return sdtm.sdtm_to_adppk(_domains(spark, sf_dir)).select("USUBJID", "EVID", "AFRLT", "PARAMCD", "PARAM", "HTBL", "WTBL", "CREATBL")
+    return _events(spark, sf_dir)
+
+
+@_register("SELECT PARAMCD, PARAM, PARAMN, EVID, count(*) AS n FROM (SELECT EVID, CASE WHEN EVID = 1 THEN 'DOSE' ELSE PCTESTCD END AS PARAMCD, CASE WHEN EVID = 1 THEN 'DrugX Dose' WHEN PCTESTCD = 'DRUGX' THEN 'concentration of DrugX' END AS PARAM, CASE WHEN EVID = 1 THEN 2 WHEN PCTESTCD = 'DRUGX' THEN 1 END AS PARAMN FROM tline WHERE NOT (PCSTRESN IS NULL AND EVID = 0)) GROUP BY ALL")
+def parameters(spark, sf_dir):
+    return _events(spark, sf_dir, helpers=True).groupBy("PARAMCD", "PARAM", "PARAMN", "EVID").agg(F.count("*").alias("n"))
+
+
+@_register(f"""WITH units AS (SELECT * FROM (VALUES ('MINUTE', 'MIN', 1.0 / 60), ('HOUR', 'H', 1), ('DAY', 'D', 24), ('WEEK', 'W', 168), ('MONTH', 'M', 730.5), ('YEAR', 'Y', 8766)) u(word, letter, h)),
+    terms AS (SELECT unnest([{', '.join(f"'{x}'" for x in sdtm.FREQUENCIES)}]) AS term),
+    parts AS (SELECT term, try_cast(nullif(regexp_extract(term, '[0-9]+'), '') as double) AS n, CASE WHEN term LIKE 'Q%' THEN 'every' WHEN term LIKE '% PER %' THEN 'per' WHEN term LIKE 'EVERY OTHER %' THEN 'other' ELSE 'every' END AS kind,
+      CASE WHEN term LIKE '% PER %' THEN regexp_extract(term, ' PER (.*)$', 1) WHEN term LIKE 'EVERY %' THEN rtrim(regexp_extract(term, '([A-Z]+)$', 1), 'S') END AS word, CASE WHEN term LIKE 'Q%' THEN regexp_extract(term, '^Q[0-9]*([A-Z]+)$', 1) END AS letter FROM terms)
+    SELECT term, floor(coalesce(CASE term WHEN 'ONCE' THEN 0 WHEN '1 TIME' THEN 0 WHEN 'BID' THEN 12 WHEN 'TID' THEN 8 WHEN 'QID' THEN 6 WHEN 'QOD' THEN 48 WHEN 'QAM' THEN 24 WHEN 'QPM' THEN 24 WHEN 'QHS' THEN 24 WHEN 'QN' THEN 24 WHEN 'QS' THEN 168 WHEN 'BIS' THEN 84 WHEN 'BIM' THEN 365.25
+        WHEN 'PA' THEN 8766 WHEN 'EVERY MORNING' THEN 24 WHEN 'EVERY AFTERNOON' THEN 24 WHEN 'EVERY EVENING' THEN 24 WHEN 'EVERY NIGHT' THEN 24 END, CASE kind WHEN 'per' THEN h / n WHEN 'other' THEN 2 * h ELSE h * coalesce(n, 1) END)::double * 1000 + 0.01) AS hours3
+    FROM parts LEFT JOIN units ON parts.word = units.word OR parts.letter = units.letter""")
+def dose_frequencies(spark, sf_dir):
+    terms = spark.createDataFrame([(x,) for x in sdtm.FREQUENCIES], "term string")
+    return sdtm.with_dosing_interval(terms, "term", "hours").select("term", F.floor(F.col("hours") * 1000 + 0.01).cast("double").alias("hours3"))
 
 
 @_register(f"SELECT p.STUDYID, p.USUBJID, p.DRUG, {_HOURS.format('p.ADTM', 'f.FANLDTM')} AS TIME, p.PCSTRESC AS CONC, f.EXDOSE_first AS DOSE, a.ARM AS \"GROUP\" FROM pcp p JOIN firsts f USING (STUDYID, USUBJID, DRUG) LEFT JOIN adsl a USING (STUDYID, USUBJID)")
@@ -347,3 +395,33 @@ def impute_missing(spark, sf_dir):
 @_register()
 def mice_sample(spark, sf_dir):
     return sampling.sample_covariates(view(spark, sf_dir, "covs").drop("c_custkey"), "mice", cat_covs=["SEX"], conditional={"WT": (50.0, 90.0)}, seed=7)
+
+
+def _moments_like(out: DataFrame, like: DataFrame, names: list[str]) -> DataFrame:
+    """One row: counts, and whether means, spreads and the share of F are within a tenth (a fifth for spreads) of a spread of ``like``'s."""
+    want = like.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("m", F.avg), ("s", F.stddev_samp))], F.avg((F.col("SEX") == "F").cast("double")).alias("f")).first()
+    near = [(F.abs(F.avg(c) - F.lit(want[f"m_{c}"])) < 0.1 * want[f"s_{c}"]).alias(f"mean_{c}") for c in names] + [(F.abs(F.stddev_samp(c) / F.lit(want[f"s_{c}"]) - 1) < 0.2).alias(f"spread_{c}") for c in names]
+    nulls = F.sum(F.greatest(*[F.col(c).isNull().cast("int") for c in out.columns])).cast("long")
+    return out.agg(F.count("*").alias("n"), nulls.alias("n_null"), *near, (F.abs(F.avg((F.col("SEX") == "F").cast("double")) - F.lit(want["f"])) < 0.08).alias("share_F"))
+
+
+_NEAR = ", ".join(f"true AS {k}_{c}" for k in ("mean", "spread") for c in ("HT", "AGE", "CRCL"))
+
+
+@_register(f"SELECT count(*) AS n, 0::bigint AS n_null, {_NEAR}, true AS \"share_F\", floor(sum(CRCL)) AS observed FROM covs")
+def impute_moments(spark, sf_dir):
+    """Imputed rows: none is null, what was observed is as it was, and distributions are like the observed ones."""
+    data = view(spark, sf_dir, "covs")
+    out = sampling.impute_missing(data.drop("c_custkey"), ["SEX"], seed=7)
+    # WT, HT, AGE and SEX have no nulls: rows match their originals by them
+    kept = out.join(data.where("CRCL is not null").select("WT", "HT", "AGE", F.col("CRCL").alias("seen")), ["WT", "HT", "AGE"]).where("CRCL = seen").agg(F.floor(F.sum("seen")).cast("double").alias("observed")).first()[0]
+    return _moments_like(out, data, ["HT", "AGE", "CRCL"]).withColumn("observed", F.lit(kept))
+
+
+@_register(f"SELECT count(*) AS n, 0::bigint AS n_null, {_NEAR}, true AS \"share_F\", true AS inside FROM covs")
+def mice_moments(spark, sf_dir):
+    """Simulated rows: as many as there are, within the limits, with distributions like those of the rows within the limits."""
+    data = view(spark, sf_dir, "covs").drop("c_custkey")
+    out = sampling.sample_covariates(data, "mice", cat_covs=["SEX"], conditional={"WT": (50.0, 90.0)}, seed=7)
+    inside = out.agg(F.min("WT").alias("low"), F.max("WT").alias("high")).first()
+    return _moments_like(out, data.where("WT between 50 and 90"), ["HT", "AGE", "CRCL"]).withColumn("inside", F.lit(inside.low >= 50 and inside.high <= 90))

@@ -8,22 +8,24 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, db: str | dict, table: str) -> DataFrame:
-    """A table of a study: from a folder of Parquet or CSV tables, or by JDBC options.
+def read_table(spark: SparkSession, db: str | dict, table: str, format: str = "parquet") -> DataFrame:
+    """A table of a study: from a folder of files, or by JDBC options.
 
-    ``db`` is a folder (``<db>/<table>.parquet``, or a folder of CSV files with
-    headers if it ends in ``?csv``), or a dict of JDBC options without ``dbtable``.
+    ``db`` is a folder (``<db>/<table>.<format>``, format parquet or csv; CSV
+    has headers and NA for null), or a dict of JDBC options without ``dbtable``.
     """
     if isinstance(db, dict):
         return spark.read.format("jdbc").options(**db).option("dbtable", table).load()
-    if db.endswith("?csv"):
-        return spark.read.csv(f"{db[:-4]}/{table}.csv", header=True, nullValue="NA")
+    if format == "csv":
+        return spark.read.csv(f"{db}/{table}.csv", header=True, nullValue="NA")
+    if format != "parquet":
+        raise ValueError(f"unknown format {format!r}")
     return spark.read.parquet(f"{db}/{table}.parquet")
 
 
-def read_domains(spark: SparkSession, db: str | dict, tables: list[str]) -> dict[str, DataFrame]:
+def read_domains(spark: SparkSession, db: str | dict, tables: list[str], format: str = "parquet") -> dict[str, DataFrame]:
     """Several tables by lower-case name."""
-    return {t.lower(): read_table(spark, db, t) for t in tables}
+    return {t.lower(): read_table(spark, db, t, format) for t in tables}
 
 
 def write_csv(df: DataFrame, path: str) -> None:

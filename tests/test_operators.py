@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from pharmalith.functions import nearest_cut, number_rows, number_text, r_ifelse, round_one, to_datetime, upper_names
 from pharmalith.operators import (
-    Dictionary, UnsupportedConversion, add_nominal_timepoints, create_demographics_table, detect_dataset_type, get_data_for_nca, get_nominal_timepoints, get_route_from_data_column, modeling_to_modeling, modeling_to_nca, nca_to_modeling, reformat_data,
-    sample_covariates, sample_covariates_bootstrap, sample_covariates_mice, sample_covariates_mvtnorm, sdtm_to_modeling,
+    Dictionary, UnsupportedConversion, add_nominal_timepoints, create_demographics_table, detect_dataset_type, get_data_for_modelfit, get_data_for_nca, get_nominal_timepoints, get_route_from_data_column, modeling_to_modeling, modeling_to_nca, nca_to_modeling, reformat_data,
+    impute_missing, sample_covariates, sample_covariates_bootstrap, sample_covariates_mice, sample_covariates_mvtnorm, sdtm_to_modeling,
 )
 from pharmalith.operators.nominal import bandwidth
 from pharmalith.operators.sdtm import asof_strict, expand_doses
-from pharmalith.sources import read_table, write_csv
+from pharmalith.sources import close, nm_data_timepoints, read_domains, read_table, write_csv, written
 
 
 def col(spark, values, expression, kind="double"):
@@ -141,6 +141,22 @@ def test_layouts_and_dispatch(spark):
 # --- demographics
 
 
+def test_levels_that_nobody_has(spark):
+    from pharmalith.operators.demographics import categorical_summary
+
+    people = spark.createDataFrame([("A", "x"), ("B", "x"), ("A", "y"), (None, "y")], "sex string, arm string")
+    got = sorted(map(tuple, categorical_summary(people, ["sex"], levels={"SEX": ["A", "C"]}).collect()))
+    assert got == [("sex", "A", "2"), ("sex", "B", "1"), ("sex", "C", "0")]
+    grouped = {(r.arm, r.level): r.value for r in categorical_summary(people, ["sex"], ["arm"], {"sex": ["A", "C"]}).collect()}
+    assert grouped == {("x", "A"): "1", ("x", "B"): "1", ("x", "C"): "0", ("y", "A"): "1", ("y", "C"): "0"}
+
+
+def test_first_row_of_a_subject_is_by_order(spark):
+    dm = spark.createDataFrame([("s", 50.0, 2), ("s", 40.0, 1), ("t", 30.0, 9)], "USUBJID string, AGE double, ORD int")
+    table = create_demographics_table({"dm": dm.repartition(4)}, ["age"], order_by="ORD")
+    assert [r["Value/count"] for r in table.collect() if r.Statistic == "min_max"] == ["30 - 40"]
+
+
 def study(spark, dm=range(10), vs=range(10), height_only=False):
     arms, races = ["A", "B", "C"], ["w", "x", "y", "z"]
     subjects = [("s", f"u{k}", arms[k % 3], races[k % 4], "FM"[k % 2], 30.0 + k * k) for k in dm]
@@ -204,6 +220,69 @@ def test_one_peak_gives_floor_and_ceiling(spark):
     assert bandwidth(10, 0.0, 0.0, 0.0) == 0.9 * 10 ** -0.2 and bandwidth(10, 2.0, 0.0, 1.0) == pytest.approx(1.8 * 10 ** -0.2)
 
 
+def test_density_of_many_rows_is_exact(spark):
+    """200,000 rows, all distinct: the curve is the sum over every one of them, as numpy has it."""
+    import numpy as np
+
+    from pharmalith.operators.nominal import density
+
+    df = spark.range(200_000).select((F.col("id") % 4 * 21 + F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e9).alias("t"))
+    t = np.array([r.t for r in df.collect()])
+    h = 0.7 * bandwidth(len(t), t.std(ddof=1), np.subtract(*np.quantile(t, [0.75, 0.25])), t.min())
+    grid = np.linspace(t.min() - 3 * h, t.max() + 3 * h, 512)
+    want = np.array([np.exp(-0.5 * ((g - t) / h) ** 2).sum() for g in grid]) / (len(t) * h * math.sqrt(2 * math.pi))
+    got = density(df, "t", adjust=0.7).orderBy("i").collect()
+    assert np.allclose([r.gx for r in got], grid) and np.allclose([r.y for r in got], want, rtol=1e-9, atol=1e-300)
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    import numpy as np
+
+    from pharmalith.operators.nominal import quantiles
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 501):
+        values, counts = np.unique(rng.integers(0, 50, n) / 7, return_counts=True)
+        df = spark.createDataFrame(list(zip(values.tolist(), counts.tolist())), "t double, n long")
+        every = np.repeat(values, counts)
+        assert quantiles(df, n, [0.0, 0.25, 0.5, 0.75, 1.0]) == pytest.approx(np.quantile(every, [0.0, 0.25, 0.5, 0.75, 1.0]).tolist())
+
+
+def test_unknown_frequency_raises_and_terms_follow_rules(spark):
+    from pharmalith.operators.sdtm import FREQUENCIES, with_dosing_interval
+
+    rows = spark.createDataFrame([("qd ",), ("Q8H",), ("3 TIMES PER WEEK",), ("EVERY 2 WEEKS",), ("Q45MIN",), ("ONCE",), (None,)], "f string")
+    assert [r.h for r in with_dosing_interval(rows, "f", "h").collect()] == [24.0, 8.0, 56.0, 336.0, 0.75, 0.0, 0.0]
+    with pytest.raises(Exception, match="no interval is known"):
+        with_dosing_interval(spark.createDataFrame([("PRN",)], "f string"), "f", "h").collect()
+    assert FREQUENCIES["BID"] == 12 and FREQUENCIES["QM"] == 730.5 and len(FREQUENCIES) > 500
+
+
+def test_closing_deletes_written_tables(tmp_path):
+    from pharmalith.sources import shared
+
+    gone = []
+
+    class Fake:
+        class sparkContext:
+            applicationId = "app-1"
+
+    before = shared._delete
+    shared._delete, shared.shared_dir, kept = lambda spark, path: gone.append(path), lambda spark: "file:///x", shared.shared_dir
+    try:
+        close(Fake)
+        assert gone == ["file:///x/pharmalith-app-1"] and shared.fresh_path(Fake, "t").startswith(gone[0] + "/t-")
+    finally:
+        shared._delete, shared.shared_dir = before, kept
+
+
+def test_shuffle_setting_is_restored(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    table = written(spark.range(100).repartition(3, "id"), "t")
+    assert spark.conf.get(name) == before and table.count() == 100 and table.groupBy("id").count().count() == 100
+
+
 # --- study domains
 
 
@@ -274,7 +353,26 @@ def test_reading_tables(spark, tmp_path):
     spark.range(3).write.parquet(f"file://{tmp_path}/x.parquet")
     assert read_table(spark, f"file://{tmp_path}", "x").count() == 3
     (tmp_path / "y.csv").write_text("a,b\n1,NA\n")
-    assert read_table(spark, f"file://{tmp_path}?csv", "y").first().b is None
+    assert read_table(spark, f"file://{tmp_path}", "y", format="csv").first().b is None
+    with pytest.raises(ValueError):
+        read_table(spark, f"file://{tmp_path}", "y", format="xml")
+
+
+def test_reading_by_jdbc(spark, tmp_path):
+    """A database that comes with Spark."""
+    db = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(1, "a"), (2, None)], "K int, V string").write.format("jdbc").options(**db).option("dbtable", "PC").save()
+    assert sorted(map(tuple, read_domains(spark, db, ["PC"])["pc"].collect())) == [(1, "a"), (2, None)]
+
+
+def test_example_data(spark):
+    rows = get_data_for_modelfit(spark).collect()
+    assert len(rows) > 300 and len(rows[0]) == 18 and {r.EVID for r in rows} == {0, 1}
+    nca = get_data_for_nca(spark).collect()
+    assert len(nca) > 300 and {r.GROUP for r in nca} == {"LOW DOSE", "HIGH DOSE"} and {r.DOSE for r in nca} == {50.0, 100.0}
+    example = nm_data_timepoints(spark)
+    assert (example.count(), len(example.columns)) == (3600, 20)
+    assert [r.NOM for r in add_nominal_timepoints(example, "TIME", "NOM", adjust=0.7).where("ID = 1").orderBy("TIME").collect()][::5] == [0, 21, 42, 64]
 
 
 # --- sampling
@@ -312,11 +410,57 @@ def test_mice(spark, people):
     assert len(rows) == 500 and all(50 <= r.WT <= 60 for r in rows) and all(None not in tuple(r) for r in rows)
     seen = {c: {r[c] for r in people.select(c).collect()} for c in ("HT", "AGE", "SEX")}
     assert all(r[c] in seen[c] for r in rows for c in seen)
-    assert rows == sample_covariates_mice(people, ["SEX"], {"WT": (50, 60)}, n_subjects=500, seed=2).collect()
+    again = sample_covariates_mice(people.repartition(3), ["SEX"], {"WT": (50, 60)}, n_subjects=500, seed=2).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
     with pytest.raises(ValueError):
         sample_covariates(people, "other")
 
 
+def test_imputation_keeps_relations(spark):
+    """Values missing at random by another column: means, spread and correlation come out as in the whole table, and no row needs to be complete."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(60, 10, 3000)
+    y = 2 * x + rng.normal(0, 8, 3000)
+    g = np.where(x + rng.normal(0, 5, 3000) > 60, "b", "a")
+    hide = rng.random(3000) < np.clip((x - 45) / 30, 0.05, 0.9)
+    lost = ~hide & (rng.random(3000) < 0.3)
+    rows = [(None if lost[k] else float(x[k]), None if hide[k] else float(y[k]), None if k % 5 == 0 else str(g[k]), float(k)) for k in range(3000)]
+    for method in ("pmm", "norm"):
+        out = impute_missing(spark.createDataFrame(rows, "x double, y double, g string, k double"), ["g"], iterations=6, cont_method=method, seed=4).orderBy("k").collect()
+        a, b = np.array([r.x for r in out]), np.array([r.y for r in out])
+        assert len(out) == 3000 and all(r.y == rows[k][1] for k, r in enumerate(out) if rows[k][1] is not None)
+        assert abs(b.mean() - y.mean()) < 1.5 and abs(b.std() / y.std() - 1) < 0.08 and abs(np.corrcoef(a, b)[0, 1] - np.corrcoef(x, y)[0, 1]) < 0.05
+        assert np.mean([r.g == g[k] for k, r in enumerate(out)]) > 0.9
+        if method == "pmm":
+            assert {r.y for r in out} <= {r[1] for r in rows}
+    none_whole = [(1.0 * k, None) if k % 2 else (None, 2.0 * k) for k in range(200)]
+    got = impute_missing(spark.createDataFrame(none_whole, "x double, y double"), iterations=2).collect()
+    assert len(got) == 200 and all(None not in tuple(r) for r in got)
+    with pytest.raises(ValueError):
+        impute_missing(spark.createDataFrame([(1.0, None)], "x double, y double"))
+
+
+def test_donors_of_all_ranges(spark, monkeypatch):
+    """With many ranges and salts each row gets one of its five nearest donors, as by sorting all of them."""
+    import numpy as np
+
+    from pharmalith.operators import sampling
+
+    monkeypatch.setattr(sampling, "RANGE_DONORS", 40)
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 10)
+    rng = np.random.default_rng(5)
+    fitted, guess, u = rng.normal(size=900), rng.normal(size=400) * 1.5, rng.random(400)
+    donors = spark.createDataFrame([(float(v), float(k)) for k, v in enumerate(fitted)], "v double, value double")
+    asked = spark.createDataFrame([(2**60 + k, float(v), float(w)) for k, (v, w) in enumerate(zip(guess, u))], "_id long, v double, u double")
+    got = {r["_id"]: r.value for r in sampling._donated(asked, donors).collect()}
+    order = np.argsort(fitted)
+    want = sampling.nearest_donor(guess, u, fitted[order], order.astype(float))
+    assert [got[2**60 + k] for k in range(400)] == want.tolist()
+    assert all(got[2**60 + k] in np.argsort(np.abs(fitted - guess[k]))[:5] for k in range(400))
+
+
 # --- streams
 
 
