@@ -398,11 +398,12 @@ def mice_sample(spark, sf_dir):
 
 
 def _moments_like(out: DataFrame, like: DataFrame, names: list[str]) -> DataFrame:
-    """One row: counts, and whether means, spreads and the share of F are within a tenth (a fifth for spreads) of a spread of ``like``'s."""
-    want = like.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("m", F.avg), ("s", F.stddev_samp))], F.avg((F.col("SEX") == "F").cast("double")).alias("f")).first()
-    near = [(F.abs(F.avg(c) - F.lit(want[f"m_{c}"])) < 0.1 * want[f"s_{c}"]).alias(f"mean_{c}") for c in names] + [(F.abs(F.stddev_samp(c) / F.lit(want[f"s_{c}"]) - 1) < 0.2).alias(f"spread_{c}") for c in names]
+    """One row: counts, and whether means, spreads and the share of F are near ``like``'s: within a tenth of a spread (a fifth for spreads), or four standard errors in a small table."""
+    want = like.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("m", F.avg), ("s", F.stddev_samp))], F.avg((F.col("SEX") == "F").cast("double")).alias("f"), F.count("*").alias("rows")).first()
+    error = 4 * (2 / max(want["rows"], 1)) ** 0.5  # of the difference of two means, in spreads
+    near = [(F.abs(F.avg(c) - F.lit(want[f"m_{c}"])) < max(0.1, error) * want[f"s_{c}"]).alias(f"mean_{c}") for c in names] + [(F.abs(F.stddev_samp(c) / F.lit(want[f"s_{c}"]) - 1) < max(0.2, error)).alias(f"spread_{c}") for c in names]
     nulls = F.sum(F.greatest(*[F.col(c).isNull().cast("int") for c in out.columns])).cast("long")
-    return out.agg(F.count("*").alias("n"), nulls.alias("n_null"), *near, (F.abs(F.avg((F.col("SEX") == "F").cast("double")) - F.lit(want["f"])) < 0.08).alias("share_F"))
+    return out.agg(F.count("*").alias("n"), nulls.alias("n_null"), *near, (F.abs(F.avg((F.col("SEX") == "F").cast("double")) - F.lit(want["f"])) < max(0.08, error / 2)).alias("share_F"))
 
 
 _NEAR = ", ".join(f"true AS {k}_{c}" for k in ("mean", "spread") for c in ("HT", "AGE", "CRCL"))
