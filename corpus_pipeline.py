@@ -5,10 +5,9 @@ group of near duplicates the one with the least id stays; documents with
 benchmark passages go; sources are mixed to target weights, so a row leaves,
 stays or comes twice; and the texts are written as token ids and read back.
 
-Near duplicates are texts of likeness 0.8 or more over five-word shingles.  A
-SimHash of 64 bits differs in about ten bits between such texts, more than
-multi-index hashing can look up, so the second stage takes the bands and exact
-likeness of the MinHash operator instead.
+Near duplicates are texts of likeness 0.8 or more over five-word shingles.  The
+second stage finds them by SimHash: multi-index hashing of wide fingerprints,
+with the least sure bits flipped, and exact likeness of what meets.
 
 Every stage handles null, empty and very long texts, null and repeated ids,
 repeated rows, clashing column names and an empty table, as its docstring says.
@@ -18,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmalith.llm import decontaminate, mixing, neardups, tokenbin, toxicity
+from pharmalith.llm import decontaminate, mixing, simtexts, tokenbin, toxicity
 from pharmalith.llm.shared import discard, materialise, ship_package
 
 
@@ -40,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     id stay; of rows that share an id one stays, the same on every run.
     """
     ship_package(spark)
-    return neardups.keep_one(docs)
+    return simtexts.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

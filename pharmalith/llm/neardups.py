@@ -1,5 +1,7 @@
 """Near-duplicate texts: MinHash bands joined in Spark, then exact Jaccard likeness.
 
+What meets may be found by another ``Method``; module ``simtexts`` has SimHash's.
+
 A shingle is five words; a text of fewer, but not none, is one shingle.  Texts
 of equal shingle sets are one class, named by the hash of its set.  ``BANDS``
 band keys of ``ROWS`` least values each are joined in Spark: two classes of
@@ -25,7 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +73,8 @@ def _longs(hashed: np.ndarray) -> pa.Array:
     return pa.array(hashed.astype(np.uint64).view(np.int64))
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """``id, h, node, size, keys`` of every row of ``id, h, text``: class, shingles, band keys (none of an empty text)."""
+def _classes(rows: DataFrame, keys_of: Callable[[list[np.ndarray]], np.ndarray] = band_keys) -> DataFrame:
+    """``id, h, node, size, keys`` of every row of ``id, h, text``: class, shingles, keys (none of an empty text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +83,7 @@ def _classes(rows: DataFrame) -> DataFrame:
                 sets = shingle_sets(data, offsets[first : last + 1], SHINGLE)
                 nodes = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in sets], dtype=np.uint64)
                 full = [x for x in sets if len(x)]
-                keys = band_keys(full).astype("<u8") if full else np.zeros((0, BANDS), "<u8")
+                keys = keys_of(full).astype("<u8") if full else np.zeros((0, 0), "<u8")
                 packed, k = [], 0
                 for x in sets:
                     packed.append(keys[k].tobytes() if len(x) else b"")
@@ -91,9 +94,9 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, h long, node long, size long, keys binary")
 
 
-def _flat_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All band keys of a batch, and the row of each."""
-    packed = column.to_pylist()
+def _flat_keys(column: pa.Array, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a batch, without the first ``lead`` words of each row, and the row of each."""
+    packed = [x[8 * lead :] for x in column.to_pylist()]
     return np.frombuffer(b"".join(packed), "<u8"), np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
 
 
@@ -136,6 +139,25 @@ def _met_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _met_by_bands(keyed: DataFrame) -> DataFrame:
+    """``a, b``: links that connect classes with a band key in common."""
+    met = keyed.select("node", "keys").mapInArrow(_met_in_batch, "key long, node long, least long")
+    return met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met_in_bucket, "a long, b long").distinct()
+
+
+@dataclass(frozen=True)
+class Method:
+    """How classes that may be alike are found: 64-bit keys of shingle sets, and links between classes out of the written ``_classes``."""
+
+    keys_of: Callable[[list[np.ndarray]], np.ndarray] = band_keys
+    met: Callable[[DataFrame], DataFrame] = _met_by_bands
+    #: words before the keys of a row that are not keys
+    lead: int = 0
+
+
+MINHASH = Method()
+
+
 def spanning_links(sets: list[np.ndarray], threshold: float = LIKE) -> list[tuple[int, int]]:
     """Pairs of likeness ``threshold`` or more that connect all that such pairs connect: a breadth-first forest."""
     size = np.array([len(x) for x in sets], dtype=np.int64)
@@ -258,19 +280,18 @@ def _with_hash_in(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, h long, text string")
 
 
-def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, most_blocks: int = BANDS) -> DataFrame:
+def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, threshold: float = LIKE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, most_blocks: int = BANDS, method: Method = MINHASH) -> DataFrame:
     """``a, b``: verified links between classes, out of ``id, h, text`` rows, their ``_classes`` (a written table, which goes), and a row per class (``node, first, size``)."""
-    met = keyed.select("node", "keys").mapInArrow(_met_in_batch, "key long, node long, least long")
-    met = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met_in_bucket, "a long, b long").distinct()
-    groups = connected_components(met, "a", "b").select(F.col("node").alias("member"), F.col("component").alias("g"))
+    groups = connected_components(method.met(keyed), "a", "b").select(F.col("node").alias("member"), F.col("component").alias("g"))
     members = materialise(classes.join(groups, F.col("node") == F.col("member")).select("node", "g", "size", "first.id", "first.h"), "members")
     cells, large = _cells(members, ["g"], block_texts, block_shingles, most_blocks)
     if large is not None:
+        lead = method.lead
         of_large = keyed.join(members.select(F.col("node").alias("member"), F.col("g")).join(large.select("g"), "g", "left_semi"), F.col("node") == F.col("member")).select("node", "size", "keys")
 
         def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                key, row = _flat_keys(batch.column(2))
+                key, row = _flat_keys(batch.column(2), lead)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), _longs(key)], ["node", "size", "key"])
 
         buckets = materialise(of_large.mapInArrow(exploded, "node long, size long, key long").distinct(), "buckets")
@@ -282,7 +303,7 @@ def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, threshold: floa
     return materialise(dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_link(threshold), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = LIKE, **sizes) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = LIKE, method: Method = MINHASH, **sizes) -> DataFrame:
     """``id, h, class_id, component_id``, a row for each id and text (``h`` is the text's hash), a written table.
 
     ``class_id`` is the least id of the same shingles, ``component_id`` the
@@ -293,11 +314,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one; texts of one id are told apart; an empty table gives no rows.
     """
     rows = hashed_rows(docs, id_col, text_col)
-    keyed = materialise(_classes(rows), "keys")
+    keyed = materialise(_classes(rows, method.keys_of), "keys")
     prints = materialise(keyed.drop("keys"), "classes")
     # a row of each class stands for it
     classes = materialise(prints.groupBy("node").agg(F.min("id").alias("class_id"), F.min(F.struct("id", "h")).alias("first"), F.min("size").alias("size")), "reps")
-    found = links(rows, keyed, classes, threshold, **sizes)
+    found = links(rows, keyed, classes, threshold, method=method, **sizes)
     comps = connected_components(found, "a", "b").select(F.col("node").alias("linked"), "component")
     named = materialise(classes.join(comps, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("of"), "class_id", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy(F.col("component").alias("whole")).agg(F.min("class_id").alias("component_id"))
@@ -307,17 +328,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", method: Method = MINHASH) -> DataFrame:
     """Of each component of near duplicates the row with the least id, with all its columns, whatever these are named.
 
     Rows that share that id are one document: one of them stays, the same on
     every run.  Rows without an id stay, for no link names them.  Null and
     empty texts are near duplicates of one another; an empty table stays empty.
     """
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = near_duplicates(docs, id_col, text_col, method=method)
     kept = materialise(groups.where("id = component_id").groupBy(F.col("component_id").alias("kept_id")).agg(F.min("h").alias("kept_h")), "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return one_of_each(docs, kept, id_col, F.xxhash64(text))
 
 
-__all__ = ["hashed_rows", "keep_one", "links", "near_duplicates", "spanning_links"]
+__all__ = ["MINHASH", "Method", "hashed_rows", "keep_one", "links", "near_duplicates", "spanning_links"]
